@@ -12,6 +12,7 @@ from . import language as _language
 from . import line_dedup as _lines
 from . import mixing as _mixing
 from . import near_duplicates as _near
+from . import quality as _quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics, base rules and the classifier's verdict on every document."""
+    docs = _read(spark, sf_dir, "documents")
+    return _quality.score(docs, _quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
     return _bpe.encode(_read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
@@ -82,6 +89,7 @@ FROM j GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
     "op8_language": op8_language,
