@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe as _bpe
+from . import embeddings as _embeddings
 from . import language as _language
 from . import line_dedup as _lines
 from . import mixing as _mixing
 from . import near_duplicates as _near
+from . import pii as _pii
 from . import quality as _quality
+from . import secrets as _secrets
+from . import toxicity as _toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,22 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(_read(spark, sf_dir, "documents"), _near.Rule(3, 85, 100))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = _read(spark, sf_dir, "documents")
+    return _secrets.scan(docs, _secrets.fit(docs))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return _pii.find_pii(_read(spark, sf_dir, "documents"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate embeddings."""
+    return _embeddings.near_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
 def language_filters(spark: SparkSession, sf_dir: str) -> _language.Filters:
     """Filters learned from the rows that are not held out."""
     return _language.fit(_read(spark, sf_dir, "documents").where(F.coalesce(fold(4), F.lit(0)) != 2))
@@ -64,6 +84,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows of fold 0 are never learned from."""
+    docs = _read(spark, sf_dir, "documents")
+    model = _toxicity.fit(docs, _read(spark, sf_dir, "labels"), F.coalesce(fold(5), F.lit(1)) != 0)
+    told = _toxicity.score(docs, model)
+    return told.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line counts and the digest of what each document keeps."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,7 +120,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_secrets": op5_secrets,
+    "op6_pii": op6_pii,
+    "op7_embeddings": op7_embeddings,
     "op8_language": op8_language,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
