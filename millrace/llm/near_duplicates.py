@@ -38,7 +38,7 @@ from ._text import Chunk, chunks, mix
 
 ROWS, BANDS = 4, 24
 VALUES = ROWS * BANDS
-BLOCK = 512
+BLOCK = 2048
 SMALL_BUCKET = 64
 
 
@@ -246,7 +246,7 @@ def _large_buckets(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFram
     return dealt.groupBy("bucket", "p", "q").applyInArrow(links, "a long, b long").distinct()
 
 
-def _shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def _shared_counts(sets: list[np.ndarray], width: int = 1024) -> np.ndarray:
     """How many shingles each two sets share: products of 0/1 matrices, ``width`` shingles at a time."""
     out = np.zeros((len(sets), len(sets)), dtype=np.float32)
     if not sets:
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     own = known.select("f1", "f2", "n_shingles", F.col("doc_id")).join(classes.select("f1", "f2", F.col("n").alias("n_shingles"), "rep"), ["f1", "f2", "n_shingles"])
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id")
     ties = own.join(repeated, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = components(first.unionByName(more).unionByName(ties.distinct()))
+    groups = components(settle(first.unionByName(more).unionByName(ties.distinct())))
 
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     linked = marks.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"])
