@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable
 
@@ -11,8 +12,14 @@ from pyspark.sql import functions as F
 from . import catalogue
 from .operators import asof, diff, materialize, quality
 from .plans.engine import run_sql
+from .plans.compiler import compile_workspace
+from .plans.contracts import diff_contracts
+from .plans.graph import Graph
+from .plans.project import Project, folder_sources
+from .plans.workspace import Workspace
 from .sources.store import Store
 from .sources.tables import read_table
+from .streaming.windows import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(catalogue.ORACLE)
@@ -278,3 +285,93 @@ def diff_sampled(spark: SparkSession, folder: str) -> DataFrame:
     orders = _orders(spark, folder)
     a, b = (diff.key_sample(x, ["o_orderkey"], 10) for x in (orders, orders.repartition("o_custkey")))
     return diff.keyed_diff(a, b, ["o_orderkey"]).select(*[F.col(c).cast("int").alias(c) for c in ("added", "removed", "modified")])
+
+
+# ---------------------------------------------------------------- a whole workspace
+
+_SHOP = {
+    "millrace.toml": '[transform]\ndefault_schema = "analytics"\n',
+    "workflows/shop/transforms/stg_orders.sql": "-- @view\nSELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 0",
+    "workflows/shop/transforms/big_orders.sql": "-- @ephemeral\nSELECT * FROM stg_orders WHERE o_totalprice > 1000",
+    "workflows/shop/transforms/orders_by_customer.sql": "-- @table\n-- @key o_custkey\nSELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM big_orders GROUP BY 1",
+    "workflows/shop/transforms/top_segments.sql": "-- @table\n-- @not-null c_mktsegment\nSELECT c.c_mktsegment, count(*) AS customers, max(b.n) AS most_orders, max(b.top) AS top FROM orders_by_customer b JOIN customer c ON c.c_custkey = b.o_custkey GROUP BY 1",
+}
+_SHOP_SQL = """
+SELECT c.c_mktsegment, count(*) AS customers, max(b.n) AS most_orders, max(b.top) AS top
+FROM (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_totalprice > 1000 GROUP BY 1) b
+JOIN customer c ON c.c_custkey = b.o_custkey GROUP BY 1
+"""
+
+
+def _shop() -> str:
+    root = tempfile.mkdtemp(prefix="millrace-shop-")
+    for name, content in _SHOP.items():
+        path = os.path.join(root, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write(content)
+    return root
+
+
+@query(_SHOP_SQL)
+def workspace_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Three models and an ephemeral one, compiled, planned, built and tested; the last one's rows."""
+    store = _store(spark)
+    project = Project(spark, _shop(), store.files.root, folder_sources(spark, folder))
+    result = project.run()
+    if result.status != "passed":
+        raise RuntimeError(f"the build {result.status}: {result.models} {result.tests}")
+    return project.store.table("analytics.shop__top_segments")
+
+
+@query("SELECT * FROM (VALUES ('first', 'build', 3), ('first', 'inline', 1), ('second', 'skip', 3), ('second', 'inline', 1)) t(round, action, n)")
+def plan_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """How the plan of an unchanged workspace differs before and after a run."""
+    project = Project(spark, _shop(), _store(spark).files.root, folder_sources(spark, folder))
+    rows = []
+    for label in ("first", "second"):
+        plan = project.plan()
+        rows += [(label, kind, n) for kind, n in plan.summary().items() if n]
+        project.apply(plan)
+    return spark.createDataFrame(rows, "round string, action string, n int")
+
+
+@query("SELECT * FROM (VALUES (1, 'shop.stg_orders'), (2, 'shop.big_orders'), (3, 'shop.orders_by_customer'), (4, 'shop.top_segments')) t(place, model)")
+def topo_order(spark: SparkSession, folder: str) -> DataFrame:
+    order = compile_workspace(Workspace.load(_shop())).order
+    return spark.createDataFrame([(k, m.name) for k, m in enumerate(order, 1)], "place int, model string")
+
+
+@query("SELECT 'a -> b -> c -> a' AS path")
+def cycle_path(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame([(" -> ".join(Graph({"a": ["b"], "b": ["c"], "c": ["a"], "d": ["a"]}).cycle()),)], "path string")
+
+
+@query("""
+SELECT * FROM (VALUES ('c_mktsegment', 'customer.c_mktsegment', 'DIRECT:IDENTITY'), ('c_mktsegment', 'customer.c_mktsegment', 'INDIRECT:GROUP_BY'),
+  ('most_orders', 'shop.orders_by_customer.n', 'DIRECT:AGGREGATION'), ('top', 'shop.orders_by_customer.top', 'DIRECT:AGGREGATION')) t(output, source, how)
+""")
+def lineage_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Column edges into the last model: the direct ones, and the grouping key's onto itself."""
+    from .plans.analysis import Analyzer
+    from .plans.lineage import LineageGraph
+
+    compiled = compile_workspace(Workspace.load(_shop()))
+    find = folder_sources(spark, folder)
+    graph = LineageGraph.build(compiled, Analyzer(spark, compiled, lambda r: find(r).schema).run())
+    rows = graph.edges_frame(spark).where("kind = 'derives' AND source_kind = 'column' AND target LIKE 'shop.top_segments.%'")
+    rows = rows.select(F.substring_index("target", ".", -1).alias("output"), "source", F.col("detail").alias("how"))
+    return rows.where("how LIKE 'DIRECT%' OR (output = 'c_mktsegment' AND how = 'INDIRECT:GROUP_BY')")
+
+
+@query("SELECT * FROM (VALUES ('added', 'c', 'safe'), ('nullability_changed', 'a', 'breaking'), ('removed', 'b', 'breaking'), ('type_changed', 'a', 'review')) t(kind, column_name, severity)")
+def contract_changes(spark: SparkSession, folder: str) -> DataFrame:
+    old = {"enforced": True, "columns": {"a": ["INTEGER", False], "b": ["VARCHAR", None]}, "renames": {}}
+    new = {"enforced": True, "columns": {"a": ["BIGINT", True], "c": ["DOUBLE", None]}, "renames": {}}
+    return spark.createDataFrame([(c.kind, c.column, c.severity) for c in diff_contracts(old, new)], "kind string, column_name string, severity string")
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def tumbling_window(spark: SparkSession, folder: str) -> DataFrame:
+    events = read_table(spark, folder, "events")
+    return windowed_counts(events, "ts", "1 hour", ("event_type",)).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
