@@ -88,10 +88,10 @@ class App:
 
     def inspect(self) -> Any:
         m = self.compiled.models[select(self.compiled, [self.args.model])[0]]
-        return {"id": m.id.name, "uri": m.id.uri, "file": m.model.file, "materialization": m.materialization, "target": m.target.name, "depends": m.depends, "sources": [s.name for s in m.sources], "key": m.key, "assertions": m.assertions, "version": m.version, "components": m.components, "sql": m.sql}
+        return {"id": m.id.name, "uri": m.id.uri, "file": m.model.file, "materialization": m.materialization, "target": m.target.name, "depends": [d.name for d in m.depends], "sources": [s.name for s in m.sources], "key": m.key, "assertions": m.assertions, "version": m.version, "components": m.components, "sql": m.sql}
 
     def graph(self) -> Any:
-        return {"order": self.compiled.order, "depends": {str(i): m.depends for i, m in self.compiled.models.items()}}
+        return {"order": [i.name for i in self.compiled.order], "depends": {i.name: [d.name for d in m.depends] for i, m in self.compiled.models.items()}}
 
     def _plan(self) -> Any:
         a = self.args
@@ -216,7 +216,7 @@ class App:
 
     def manifest(self) -> Any:
         c = self.compiled
-        return {"schema_version": 1, "models": {i.name: {"target": m.target.name, "version": m.version, "depends": m.depends, "materialization": m.materialization} for i, m in c.models.items()}, "tests": sorted(c.tests), "seeds": sorted(s.name for s in c.seeds.values())}
+        return {"schema_version": 1, "models": {i.name: {"target": m.target.name, "version": m.version, "depends": [d.name for d in m.depends], "materialization": m.materialization} for i, m in c.models.items()}, "tests": sorted(c.tests), "seeds": sorted(s.name for s in c.seeds.values())}
 
     def init(self) -> Any:
         root = self.args.root
