@@ -7,6 +7,9 @@ only where it is unset (tests, notebooks) a temporary folder is used.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -17,6 +20,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+SLICE_BYTES = 4 << 20
+
 _own_dir: list[tempfile.TemporaryDirectory] = []
 _shipped: set[str] = set()
 
@@ -66,6 +71,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     """``df.mapInArrow`` for a step that turns a batch into dicts of columns.
 
     ``make`` runs once per task and returns the step, which may keep state.
+    The step sees a batch in slices of about ``SLICE_BYTES``, so that what it
+    unpacks stays small, and a task returns its memory when it ends.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -76,12 +83,24 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for columns in step(batch):
-                yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in target], schema=target)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                for columns in step(batch.slice(at, rows)):
+                    yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in target], schema=target)
+            del batch
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: idle workers share the executor's limit with busy ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _array(values: object, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
