@@ -10,6 +10,7 @@ import sys
 from dataclasses import asdict, is_dataclass
 from typing import Any
 
+from millrace.plans.artifacts import write_artifact
 from millrace.plans.compiler import Compiled, compile_workspace
 from millrace.plans.diagnostics import CODES
 from millrace.plans.gitdiff import GitError, changed_since
@@ -18,6 +19,8 @@ from millrace.plans.selection import SelectionError, select
 from millrace.plans.workspace import CONFIG, Workspace
 
 STATE_DIR = ".millrace"
+#: Commands whose result is kept as an artifact, by the artifact's name.
+ARTIFACTS = {"manifest": "manifest", "graph": "graph", "plan": "plan", "apply": "run", "run": "run", "promote": "promotion"}
 
 
 def plain(value: Any) -> Any:
@@ -150,6 +153,8 @@ class App:
     def lineage(self) -> Any:
         from millrace.plans.lineage import Node, open_lineage
 
+        if self.args.diff:
+            return self._lineage_diff(*self.args.diff)
         analyses, graph, _ = self._lineage()
         if self.args.format == "openlineage":
             return open_lineage(self.compiled, analyses, "millrace", "https://example.org/millrace", dt.datetime.now(dt.timezone.utc).isoformat())
@@ -160,6 +165,35 @@ class App:
             return {"upstream": built.reach(node, False), "downstream": built.reach(node)}
         return json.loads(built.to_json())
 
+    def _lineage_diff(self, base: str, candidate: str | None = None) -> Any:
+        """Two exported graphs, or an exported one and the workspace's present one."""
+        from millrace.plans.lineage import LineageGraph, lineage_diff
+
+        def load(path: str) -> Any:
+            with open(path) as f:
+                return LineageGraph.from_json(f.read())
+
+        if candidate:
+            new = load(candidate)
+        else:
+            analyses, graph, _ = self._lineage()
+            new = graph.build(self.compiled, analyses)
+        return lineage_diff(load(base), new)
+
+    def translate(self) -> tuple[Any, bool]:
+        from millrace.translate.project import translate
+
+        done = translate(self.args.project)
+        written = done.write(self.args.out, self.args.overwrite) if self.args.out and not self.args.check else []
+        found = [{"kind": o.kind, "name": o.name, "classification": o.classification, "findings": o.findings} for o in done.outcomes]
+        return {"summary": done.summary(), "resources": found, "written": written}, not done.summary()["UNSUPPORTED"]
+
+    def daemon(self) -> Any:
+        from millrace.service import Service, server
+
+        a = self.args
+        server(Service(a.root, self.spark, a.sources, a.warehouse, a.token), "127.0.0.1", a.port).serve_forever()
+
     def impact(self) -> Any:
         from millrace.plans.lineage import Node
 
@@ -267,6 +301,7 @@ def parser() -> argparse.ArgumentParser:
         add(name).add_argument("model")
     p = add("lineage")
     p.add_argument("target", nargs="?")
+    p.add_argument("--diff", nargs="+", metavar="GRAPH", help="an exported graph, and another (else the present one)")
     p.add_argument("--format", choices=("graph", "openlineage"), default="graph")
     add("impact").add_argument("target")
     p = add("diff")
@@ -286,6 +321,14 @@ def parser() -> argparse.ArgumentParser:
     for flag in ("--check", "--require-diff", "--allow-breaking-schema", "--cleanup"):
         p.add_argument(flag, action="store_true")
     add("rollback").add_argument("--to", required=True)
+    p = add("translate")
+    p.add_argument("project")
+    p.add_argument("--out")
+    p.add_argument("--check", action="store_true")
+    p.add_argument("--overwrite", action="store_true")
+    p = add("daemon")
+    p.add_argument("--port", type=int, default=8390)
+    p.add_argument("--token")
     p = add("state")
     p.add_argument("action", choices=("runs", "show", "model", "promotions", "evidence"))
     p.add_argument("name", nargs="?", default="")
@@ -302,6 +345,8 @@ def main(argv: list[str] | None = None, spark: Any = None, out: Any = None) -> i
         print(json.dumps({"error": str(e)}) if args.json else f"error: {e}", file=out)
         return 2
     value, good = found if isinstance(found, tuple) and len(found) == 2 and isinstance(found[1], bool) else (found, True)
+    if args.command in ARTIFACTS:
+        write_artifact(os.path.join(args.root, STATE_DIR), ARTIFACTS[args.command], plain(value))
     print(json.dumps(plain(value), indent=None if args.json else 2, default=str), file=out)
     return 0 if good else 1
 

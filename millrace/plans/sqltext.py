@@ -14,12 +14,13 @@ _TOKEN = re.compile(
     | (?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)
     | (?P<word>[^\W\d]\w*(?:\$\w*)?|@\w+|\$\d+|:[^\W\d]\w*(?=\W|$)(?<!::))
     | (?P<mark>::|\|\||<=>|<=|>=|<>|!=|==|->|=>|[-+*/%=<>(),.;\[\]{}?:^&|~!@\#$\\])
+    | (?P<other>.)
     """,
     re.X | re.S,
 )
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
@@ -41,16 +42,7 @@ class Token:
 
 
 def tokenize(sql: str) -> list[Token]:
-    out, at = [], 0
-    while at < len(sql):
-        m = _TOKEN.match(sql, at)
-        if not m:
-            out.append(Token("mark", sql[at]))
-            at += 1
-            continue
-        out.append(Token(m.lastgroup, m[0]))
-        at = m.end()
-    return out
+    return [Token(m.lastgroup if m.lastgroup != "other" else "mark", m[0]) for m in _TOKEN.finditer(sql)]
 
 
 def text(tokens: list[Token]) -> str:

@@ -100,6 +100,8 @@ class _Loader:
         self.config = _toml(root / CONFIG, self.notes) if (root / CONFIG).exists() else {}
         self.transform = self.config.get("transform", {})
         self.folder_configs: dict[str, dict] = {}
+        self.places: dict[PurePosixPath, tuple] = {}
+        self.chains: dict[PurePosixPath, dict] = {}
 
     def load(self) -> Workspace:
         models: dict[ModelId, Model] = {}
@@ -183,7 +185,11 @@ class _Loader:
             return None
         directives = parse_directives(sql, path)
         self.notes += directives.diagnostics
-        namespace, root, below, workflow = self._place(path)
+        folder = path.parent
+        if folder not in self.places:
+            self.places[folder] = self._place(path)
+        namespace, root, _, workflow = self.places[folder]
+        below = PurePosixPath(*path.parts[len(root.parts) :])
         try:
             own = ModelId.parse(".".join([namespace or "", *below.with_suffix("").parts]))
         except ValueError:
@@ -192,7 +198,9 @@ class _Loader:
         if identity is None:
             self.notes.append(error("PROJECT004", f"no valid model id for {path}", path))
             return None
-        settings = self._settings(root, below)
+        if folder not in self.chains:
+            self.chains[folder] = self._settings(root, below)
+        settings = self.chains[folder]
         declared = self.config.get("model", {}).get(identity.name) or self.config.get("model", {}).get(identity.name.replace(".", "_")) or {}
         incremental, kind = directives.incremental, directives.materialization or settings["materialized"]
         wanted = declared.get("incremental", {})

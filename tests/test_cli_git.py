@@ -5,6 +5,7 @@ import subprocess
 import pytest
 from conftest import SF
 from millrace.cli import main
+from millrace.plans.artifacts import read_artifact
 from millrace.plans.analysis import Analyzer
 from millrace.plans.compiler import compile_workspace
 from millrace.plans.gitdiff import changed_since
@@ -52,6 +53,10 @@ def test_command_line(cli):
     assert cli("promote", "cand", "--check")
     assert len(cli("state", "runs")) == 2 and cli("state", "model", "shop.by")
     assert cli("manifest")["models"]["shop.by"]["depends"] == ["shop.stg"]
+    assert read_artifact(f"{cli.root}/.millrace", "run")["status"] == "passed" and read_artifact(f"{cli.root}/.millrace", "diff") is None
+    with open(f"{cli.root}/graph.json", "w") as f:
+        json.dump(cli("lineage"), f)
+    assert cli("lineage", "--diff", f"{cli.root}/graph.json")["edges_added"] == []
     assert "error" in cli("run", "nope", code=2)
     assert cli("doctor")["compiles"]
 
@@ -72,6 +77,12 @@ def test_changes_since_a_revision(cli, workspace):
     assert [m["id"] for m in cli("list", "changed+", "--since", "HEAD")] == ["shop.stg", "shop.by"]
 
 
+def test_translate_command(cli, workspace, tmp_path):
+    project = workspace({"dbt_project.yml": "name: p\n", "models/a.sql": "select 1 as k", "models/b.sql": "select * from {{ ref('a') }}"}, "dbt")
+    done = cli("translate", project, "--out", str(tmp_path / "out"))
+    assert done["summary"]["CLEAN"] == 2 and "transforms/p/b.sql" in done["written"]
+
+
 SCHEMAS = {"external.raw": "id string, titre double, kind string, captured timestamp", "external.samples": "sample_id string, batch string"}
 
 
