@@ -1,10 +1,14 @@
 """BPE encoding and decoding through a table of distinct words (operator 3).
 
 The tokenizer drops white space and never merges across it, so a text's ids are
-its words' ids in order.  Each task keeps a table of the distinct words that it
-has met: a word is encoded once, and ids are joined back to texts by position.
-Decoding joins ids to their pieces the same way.  The table is bounded: beyond
-``TABLE_WORDS`` words it starts afresh, which costs time and changes nothing.
+its words' ids in order.  A Python worker keeps a table of the distinct words
+that it has met, from task to task: a word is encoded once, and ids are joined
+back to texts by position.  Decoding joins ids to their pieces the same way.
+
+Two further identities keep the table small: A-Z encode as a-z, and closing
+punctuation is a word part of its own, so "Word," is the parts "word" and ",".
+The table is bounded: beyond ``TABLE_WORDS`` entries the older half goes, which
+costs time and changes nothing.
 """
 
 from __future__ import annotations
@@ -20,11 +24,40 @@ from pyspark.sql import functions as F
 
 from ._stage import map_arrow
 
-TABLE_WORDS = 250_000
+TABLE_WORDS = 500_000
+
+_CLOSING = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+_ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+_tables: dict[str, "WordTable"] = {}
+
+
+def word_parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word as its core, A-Z lower-cased, and its closing ASCII punctuation.
+
+    The tokenizer always divides between a letter or digit and punctuation
+    other than an apostrophe; words that it may not divide so (another last
+    character, or a special token's marks inside) stay whole.
+    """
+    core = word.rstrip(_CLOSING)
+    if len(core) == len(word):
+        return (word.lower() if b"<|" not in word else word), b""
+    if not core or b"<|" in word:
+        return word, b""
+    latin = len(core) > 1 and core[-2] == 0xC3 and core[-1] not in (0x97, 0xB7)
+    if core[-1] in _ALNUM or latin:
+        return core.lower(), word[len(core) :]
+    return word, b""
 
 
 class WordTable:
-    """Distinct words with their packed ids and decoded pieces."""
+    """Distinct word parts with their packed ids, and the pieces of all ids."""
+
+    @staticmethod
+    def of(path: str) -> "WordTable":
+        """The worker's own table, kept from task to task."""
+        if path not in _tables:
+            _tables[path] = WordTable(path)
+        return _tables[path]
 
     def __init__(self, path: str, limit: int = TABLE_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,29 +69,44 @@ class WordTable:
         size = self.tokenizer.get_vocab_size()
         self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.limit = limit
-        self.ids: dict[bytes, bytes] = {}
-
-    def add(self, words: set[bytes]) -> None:
-        """Encodes the words that the table lacks, each once."""
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > self.limit:
-            self.ids = {}
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.ids[word] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        """A text's ids as little-endian unsigned 32-bit integers; its words are in the table."""
-        return b"".join(map(self.ids.__getitem__, text.split()))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def add(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of the words; parts that the table lacks are encoded, each once."""
+        parts = {w: word_parts(w) for w in words}
+        need = {p for both in parts.values() for p in both}
+        known: dict[bytes, bytes] = {b"": b""}
+        missing = []
+        for p in need:
+            ids = self.young.get(p)
+            if ids is None:
+                ids = self.old.get(p)
+                if ids is None:
+                    if p:
+                        missing.append(p)
+                    continue
+                self.young[p] = ids
+            known[p] = ids
+        for at in range(0, len(missing), 20_000):
+            some = missing[at : at + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                known[p] = self.young[p] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.young) > self.limit // 2:
+            self.old, self.young = self.young, {}
+        return {w: known[core] + known[tail] for w, (core, tail) in parts.items()}
+
+    @staticmethod
+    def encode(text: bytes, ids: dict[bytes, bytes]) -> bytes:
+        """A text's ids as little-endian unsigned 32-bit integers, joined by position."""
+        return b"".join(map(ids.__getitem__, text.split()))
 
     def decode(self, packed: bytes) -> bytes:
         """The pieces of packed ids; the tokenizer has no decoder, so they are joined by spaces."""
         return b" ".join(map(self.pieces.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-def _groups(texts: list[bytes], limit: int = 4 << 20) -> Iterator[list[bytes]]:
+def _groups(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
     group, size = [], 0
     for t in texts:
         if group and size + len(t) > limit:
@@ -82,14 +130,14 @@ def encode(docs: DataFrame, tokenizer_path: str, digests: bool = False) -> DataF
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def make():
-        table = WordTable(tokenizer_path)
+        table = WordTable.of(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             done = 0
             texts = batch.column(1).fill_null("").cast(pa.binary()).to_pylist()
             for group in _groups(texts):
-                table.add(set().union(*(t.split() for t in group)))
-                packed = [table.encode(t) for t in group]
+                ids = table.add(set().union(*(t.split() for t in group)))
+                packed = [table.encode(t, ids) for t in group]
                 decoded = [table.decode(p) for p in packed]
                 out = {"doc_id": batch.column(0).slice(done, len(group)), "n_tokens": [len(p) // 4 for p in packed]}
                 if digests:
@@ -110,7 +158,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFrame:
     """``doc_id`` and the decoded text of an array column of ids (null: empty text)."""
 
     def make():
-        table = WordTable(tokenizer_path)
+        table = WordTable.of(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             yield {"doc_id": batch.column(0), "decoded": [table.decode(np.array(x or [], dtype="<u4").tobytes()).decode("utf-8") for x in batch.column(1).to_pylist()]}
