@@ -57,26 +57,37 @@ class Model:
 
 
 class Trie:
-    """The lexicon's terms by characters, searched with a word's Levenshtein automaton."""
+    """Terms by characters, searched with a word's Levenshtein automaton.
+
+    Only terms long enough to be misspelled are held; a stem stands for all of
+    its forms, so forms of a stem aren't either.
+    """
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.root: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.heads: dict[str, set[int]] = {}  # halves of terms -> lengths of words that may misspell them
+        self.tails: dict[str, set[int]] = {}
         for term, weight in terms.items():
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (term, weight)
             half = len(term) // 2
-            self.heads.add(term[:half])
-            self.tails.add(term[half:])
+            for halves, part in ((self.heads, term[:half]), (self.tails, term[half:])):
+                halves.setdefault(part, set()).update((len(term) - 1, len(term), len(term) + 1))
         self.head_sizes = sorted({len(h) for h in self.heads if h})
         self.tail_sizes = sorted({len(t) for t in self.tails})
 
     def may_match(self, word: str) -> bool:
         """One edit leaves a term's first or second half intact, at the word's start or end."""
-        return any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)
+        size = len(word)
+        for n in self.head_sizes:
+            if size in self.heads.get(word[:n], ()):
+                return True
+        for n in self.tail_sizes:
+            if size in self.tails.get(word[-n:], ()):
+                return True
+        return False
 
     def within_one(self, word: str) -> tuple[str, float] | None:
         """The heaviest term at edit distance one at most.
@@ -114,7 +125,16 @@ class Hits(dict):
 
     def __init__(self, lexicon: Lexicon, limit: int = WORD_MEMORY) -> None:
         super().__init__()
-        self.lexicon, self.trie, self.limit = lexicon, Trie(lexicon.terms), limit
+        plain = {t: w for t, w in lexicon.terms.items() if len(t) >= FUZZY_LENGTH and not any(t[:n] in lexicon.stems for n in STEM_LENGTHS)}
+        self.lexicon, self.trie, self.limit = lexicon, Trie(plain), limit
+
+    @staticmethod
+    def of(lexicon: Lexicon) -> "Hits":
+        """The worker's table for a lexicon, kept from task to task; only the latest lexicon's is."""
+        global _latest
+        if _latest is None or _latest.lexicon != lexicon:
+            _latest = Hits(lexicon)
+        return _latest
 
     def __missing__(self, token: str):
         if len(self) >= self.limit:
@@ -131,11 +151,14 @@ class Hits(dict):
                 return STEM, word[:n], self.lexicon.stems[word[:n]]
         if len(word) >= FUZZY_LENGTH and self.trie.may_match(word):
             near = self.trie.within_one(word)
-            if near and len(near[0]) >= FUZZY_LENGTH:
+            if near:
                 return FUZZY, near[0], near[1]
         return None
 
 
+_latest: Hits | None = None
+
+
 def quoted(tokens: list[str], at: int) -> bool:
     """Whether a hit stands in quotation marks within the window, or after a word of reporting."""
     before, after = tokens[max(0, at - WINDOW) : at + 1], tokens[at : at + WINDOW + 1]
@@ -235,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     lexicon = learn_lexicon(sample)
 
     def make():
-        hits = Hits(lexicon)
+        hits = Hits.of(lexicon)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             rows = [features(t, hits) for t in batch.column(2).to_pylist()]
@@ -269,7 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         m = held.value
-        hits = Hits(m.lexicon)
+        hits = Hits.of(m.lexicon)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             x = np.array([features(t or "", hits) for t in batch.column(1).to_pylist()]).reshape(-1, N_FEATURES)
