@@ -58,14 +58,15 @@ class App:
     @property
     def project(self) -> Any:
         if self._project is None:
-            from millrace.plans.project import Project, catalog_sources, folder_sources
+            from millrace.plans.project import Project, catalog_sources, folder_sources, folder_states
             from millrace.plans.state import State
 
             folder = os.path.join(self.args.root, STATE_DIR)
             os.makedirs(folder, exist_ok=True)
             warehouse = self.args.warehouse or "file://" + os.path.abspath(os.path.join(folder, "warehouse"))
             sources = folder_sources(self.spark, self.args.sources) if self.args.sources else catalog_sources(self.spark)
-            self._project = Project(self.spark, self.args.root, warehouse, sources, State(os.path.join(folder, "state.db")))
+            states = folder_states(self.spark, self.args.sources) if self.args.sources else None
+            self._project = Project(self.spark, self.args.root, warehouse, sources, State(os.path.join(folder, "state.db")), states)
         return self._project
 
     def selected(self) -> list[ModelId]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterable
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.operators import diff, quality
 from millrace.sources.store import MAIN, Store
 
-from .compiler import Compiled, compile_workspace
+from .compiler import Compiled, SourceStates, compile_workspace
 from .identity import ModelId, Relation
 from .planner import Plan, Planner
 from .runner import FAILED, BLOCKED, CANCELLED, Runner, RunError, RunResult
@@ -33,15 +34,32 @@ def folder_sources(spark: SparkSession, folder: str) -> Callable[[Relation], Dat
     return lambda relation: spark.read.parquet(f"{folder}/{relation.table}.parquet")
 
 
+def folder_states(spark: SparkSession, folder: str) -> Callable[[Relation], str | None]:
+    """A digest of names, sizes and times of the files behind each of ``folder_sources``, from the file system alone."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+
+    def state(relation: Relation) -> str | None:
+        at = path(f"{folder}/{relation.table}.parquet")
+        fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(at):
+            return None
+        files = [at] if fs.getFileStatus(at).isFile() else [s.getPath() for s in fs.listStatus(at)]
+        lines = sorted(f"{f.getName()}|{s.getLen()}|{s.getModificationTime()}" for f in files for s in [fs.getFileStatus(f)])
+        return "files:" + hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+    return state
+
+
 class Project:
     """A workspace with its store, state and sources."""
 
-    def __init__(self, spark: SparkSession, root: str | os.PathLike, warehouse: str, sources: Callable[[Relation], DataFrame | None] | None = None, state: State | None = None, source_states: dict[str, str] | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str | os.PathLike, warehouse: str, sources: Callable[[Relation], DataFrame | None] | None = None, state: State | None = None, source_states: SourceStates = None) -> None:
         self.spark, self.root = spark, str(root)
         self.store = Store(spark, warehouse)
         self.state = state or State()
         self.sources = sources or catalog_sources(spark)
-        self.source_states = source_states or {}
+        self.source_states = source_states
         self._compiled: Compiled | None = None
 
     @property

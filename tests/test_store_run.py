@@ -229,6 +229,22 @@ def test_drift_and_force(project, spark):
     assert set(kinds(project.plan(force=True)).values()) == {"build", "inline"}
 
 
+def test_changed_sources_rebuild(spark, workspace, tmp_path):
+    from millrace.plans.project import folder_sources, folder_states
+
+    folder = f"file://{tmp_path}/src"
+    spark.range(3).write.parquet(f"{folder}/ev.parquet")
+    p = Project(spark, workspace({T + "m.sql": "-- @table\nselect count(*) as n from ev"}), f"file://{tmp_path}/wh", folder_sources(spark, folder), source_states=folder_states(spark, folder))
+    assert p.run().status == "passed"
+    p.reload()
+    assert p.plan().summary()["skip"] == 1
+    spark.range(3).write.mode("append").parquet(f"{folder}/ev.parquet")
+    p.reload()
+    assert p.plan().actions[ModelId.parse("w.m")].reasons == ["source_changed"]
+    p.run()
+    assert got(p.store.table("w.m")) == [(6,)]
+
+
 def test_resume_keeps_what_passed(project):
     r = project.run()
     project.state.finish_run(r.run, "cancelled", project.store.head().id)
