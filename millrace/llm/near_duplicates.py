@@ -39,6 +39,8 @@ from ._text import Chunk, chunks, mix
 ROWS, BANDS = 4, 24
 VALUES = ROWS * BANDS
 BLOCK = 2048
+#: A block's shingles, so that long texts make smaller blocks.
+BLOCK_SHINGLES = 2_000_000
 SMALL_BUCKET = 64
 
 
@@ -220,7 +222,9 @@ def _small_buckets(members: DataFrame, rule: Rule) -> DataFrame:
 def _large_buckets(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Links across components inside larger buckets, found block against block."""
     ship(members.sparkSession)
-    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    loads = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("here"), F.sum("n").alias("load"))
+    blocks = F.ceil(F.greatest(F.col("here") / BLOCK, F.col("load") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(loads, "bucket").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("p", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other"))
     dealt = dealt.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("bucket", "p", "q", "mine", "band", "rep", "n", "comp", "sig", "bands", "text")

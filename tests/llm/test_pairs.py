@@ -80,6 +80,7 @@ def test_near_duplicates_large_buckets(spark, monkeypatch):
     """Blocks of a few members give the links that pairs give."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
     monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 150)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(mutated(rng, base, rng.randrange(0, 7)))) for i in range(60)]
