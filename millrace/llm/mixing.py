@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._stage import settle
+
 WORD = r"[^\x20\x09-\x0D]+"
 BIN_ROWS = 4096
 WEIGHTS = (5, 2, 1)
@@ -89,7 +91,8 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, salt: str = "mix:
     """
     quality = F.greatest(F.coalesce(weight if weight is not None else text_quality(F.col("text")), F.lit(0.0)), F.lit(0.0625))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), quality.alias("weight"), F.xxhash64("text").alias("tie"))
-    rows = rows.withColumn("key", -F.ln(uniform(F.col("doc_id"), salt)) / F.col("weight"))
+    # Texts are read once; what follows works on these few numbers a document.
+    rows = settle(rows.withColumn("key", -F.ln(uniform(F.col("doc_id"), salt)) / F.col("weight")))
 
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
