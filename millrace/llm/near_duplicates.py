@@ -309,9 +309,15 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     own = known.select("f1", "f2", "n_shingles", F.col("doc_id")).join(classes.select("f1", "f2", F.col("n").alias("n_shingles"), "rep"), ["f1", "f2", "n_shingles"])
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id")
     ties = own.join(repeated, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = components(settle(first.unionByName(more).unionByName(ties.distinct())))
-
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    # Only what joins components of the first links is contracted again.
+    extra = more.unionByName(ties.distinct())
+    for end in ("a", "b"):
+        to = labels.select(F.col("node").alias(end), F.col("component").alias("to"))
+        extra = extra.join(to, end, "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
+    groups = components(settle(extra)).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
+
+    named = classes.select("f1", "f2", F.col("n").alias("n_shingles"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    named = named.join(groups, "comp", "left").select("f1", "f2", "n_shingles", F.coalesce("whole", "comp").alias("component_id"))
     linked = marks.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"])
     alone = marks.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     every = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
