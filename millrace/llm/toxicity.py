@@ -59,8 +59,8 @@ class Model:
 class Trie:
     """Terms by characters, searched with a word's Levenshtein automaton.
 
-    Only terms long enough to be misspelled are held; a stem stands for all of
-    its forms, so forms of a stem aren't either.
+    Only terms long enough to be misspelled are held, forms of stems among
+    them: a stem is matched by exact prefix, a misspelling within it is not.
     """
 
     def __init__(self, terms: dict[str, float]) -> None:
@@ -125,7 +125,7 @@ class Hits(dict):
 
     def __init__(self, lexicon: Lexicon, limit: int = WORD_MEMORY) -> None:
         super().__init__()
-        plain = {t: w for t, w in lexicon.terms.items() if len(t) >= FUZZY_LENGTH and not any(t[:n] in lexicon.stems for n in STEM_LENGTHS)}
+        plain = {t: w for t, w in lexicon.terms.items() if len(t) >= FUZZY_LENGTH}
         self.lexicon, self.trie, self.limit = lexicon, Trie(plain), limit
 
     @staticmethod

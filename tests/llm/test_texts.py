@@ -329,6 +329,19 @@ def test_quotation_lowers_toxicity_features():
     assert plain[0] == 5.0 and said[0] == 0.0 and said[7] == 5.0
 
 
+def test_misspellings_inside_a_stem_are_found():
+    hits = toxicity.Hits(toxicity.Lexicon({"loser": 4.0, "losers": 3.0, "worthless": 5.0}, {"lose": 2.0, "worth": 1.0}))
+    assert {w: hits[w] for w in ("looser", "l0ser", "loosers", "wrthless", "w0rthless")} == {
+        "looser": (toxicity.FUZZY, "loser", 4.0),
+        "l0ser": (toxicity.FUZZY, "loser", 4.0),
+        "loosers": (toxicity.FUZZY, "losers", 3.0),
+        "wrthless": (toxicity.FUZZY, "worthless", 5.0),
+        "w0rthless": (toxicity.FUZZY, "worthless", 5.0),
+    }
+    assert hits["loser"][0] == toxicity.EXACT and hits["loserly"] == (toxicity.STEM, "lose", 2.0)
+    assert toxicity.features("you l0ser go away now", hits)[3] > 0
+
+
 def test_toxicity_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd_docs(spark), none, F.lit(True))
