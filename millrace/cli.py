@@ -210,7 +210,7 @@ class App:
             found = branch_diff(self.project, a.to or a.environment, a.source, a.deep)
             return found, all(d.passed is not False for d in found.datasets)
         strategy, report, verdict = self.project.diff(a.model, a.source, a.to or a.environment, a.base_commit, [c for c in (a.partition or "").split(",") if c], a.sample, a.full)
-        rows = [r.asDict() for r in report.limit(1000).collect()]
+        rows = [r.asDict() for r in report.orderBy(*report.columns).collect()]
         return {"strategy": strategy, "report": rows, "policy": verdict}, verdict is None or verdict.passed
 
     def ref(self) -> Any:

@@ -61,6 +61,25 @@ def test_command_line(cli):
     assert cli("doctor")["compiles"]
 
 
+def test_partition_diff_is_printed_whole(spark, workspace):
+    model = "-- @table\n-- @key id\nselect o_orderkey as id from orders where o_orderkey "
+    root = workspace({"millrace.toml": '[transform]\ndefault_schema = "an"\n', T + "ids.sql": model + "> 0"})
+
+    def call(*args):
+        out = io.StringIO()
+        code = main([*args, "--root", root, "--sources", SF, "--json"], spark, out)
+        return code, json.loads(out.getvalue())
+
+    assert call("run")[0] == 0 and call("ref", "create", "cand")[0] == 0
+    with open(f"{root}/{T}ids.sql", "w") as f:
+        f.write(model + "< 0")
+    assert call("run", "--environment", "cand")[0] == 0
+    report = call("diff", "ids", "--to", "cand", "--partition", "id")[1]["report"]
+    names = [r["partition"] for r in report]
+    assert len(names) == spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey > 0").count() > 1000
+    assert names == sorted(names) and {r["status"] for r in report} == {"removed"}
+
+
 def test_changes_since_a_revision(cli, workspace):
     git = lambda *a: subprocess.run(["git", "-C", cli.root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
     git("init", "-q")

@@ -308,3 +308,8 @@ def test_streaming_takes_every_file_once(spark, store, tmp_path):
     assert take_up(*args) == 0
     spark.range(10, 12).write.parquet(f"{folder}/b")
     assert take_up(*args) == 1 and store.table("s.t").count() == 5
+
+
+def test_all_violations_are_counted(spark):
+    t = spark.range(2500).selectExpr("nullif(id, id) as s")
+    assert quality.run_test("x", quality.not_null(t, "s")).violations == 2500
