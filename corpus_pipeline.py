@@ -33,10 +33,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it, zero to two times."""
-    mixed = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("id"), (F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("id").agg(F.max("times").alias("times"))
-    repeated = docs.join(mixed, F.col("doc_id") == F.col("id")).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(*docs.columns)
+    """Repeats each row as often as the mix takes it, zero to two times, whatever its doc_id."""
+    mixed = mixing.mix_sources(docs, carry=True).where("taken > 0")
+    times = F.expr("cast(taken div size as int)")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,11 +73,13 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weight: Column | None = None, salt: str = "mix:") -> DataFrame:
+def mix_sources(docs: DataFrame, weight: Column | None = None, salt: str = "mix:", carry: bool = False) -> DataFrame:
     """What a mix of ``docs`` (doc_id, text, source) takes from every document.
 
     Returns one row per input row: doc_id, source, size, source_size, target,
-    weight, taken.  ``taken`` counts words with repeats: a document is taken
+    weight, taken; with ``carry`` also ``row``, the input row as a struct, so
+    that rows without an id and rows sharing one keep their own count.
+    ``taken`` counts words with repeats: a document is taken
     whole ``floor(target / source_size)`` times, and once more if, in key
     order, at least half of it fits the rest of the budget; so a source's taken
     words differ from its target by at most half the document at the cut, and
@@ -90,8 +92,8 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, salt: str = "mix:
     A null or non-positive weight counts as the smallest, 1/16.
     """
     quality = F.greatest(F.coalesce(weight if weight is not None else text_quality(F.col("text")), F.lit(0.0)), F.lit(0.0625))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), quality.alias("weight"), F.xxhash64("text").alias("tie"))
-    # Texts are read once; what follows works on these few numbers a document.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), quality.alias("weight"), F.xxhash64("text").alias("tie"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    # Texts are read once; what follows works on these few numbers a document (and carries its row along, if asked to).
     rows = settle(rows.withColumn("key", -F.ln(uniform(F.col("doc_id"), salt)) / F.col("weight")))
 
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
@@ -113,7 +115,7 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, salt: str = "mix:
         F.max(F.when(state == 1, F.col("bin"))).alias("whole_bin"),
     )
     marked = placed.join(cuts.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    what = ["doc_id", "source", "size", "source_size", "target", "weight"]
+    what = ["doc_id", "source", "size", "source_size", "target", "weight"] + (["row"] if carry else [])
     in_cut = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
     plain = marked.where(~in_cut).withColumn("more", F.coalesce((F.col("bin") <= F.col("whole_bin")).cast("long"), F.lit(0)))
     by_key = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
