@@ -2,7 +2,8 @@
 
 One array of slots serves all languages: bit l of a slot belongs to language
 l's filter, so a lookup returns, for an n-gram, the mask of every language
-whose filter contains it.  A document's per-language counts, corrected for each
+whose filter contains it.  A slot has one word per 64 languages, each word in a
+row of the array.  A document's per-language counts, corrected for each
 filter's false-positive rate, decide.
 """
 
@@ -21,8 +22,8 @@ from ._text import Chunk, chunks, mix
 
 ORDERS = (3, 5)
 HASHES = 3
-MAX_LANGUAGES = 64
-#: Bound on the labelled rows that the filters are fitted on.
+WORD_BITS = 64
+#: Bound on the labelled rows that the filters are fitted on, for up to 64 languages; each further one adds as many as one of 64 gets.
 FIT_ROWS = 6000
 #: An n-gram enters a language's filter if it is seen this often there, and its
 #: rate there is at least this share of its highest rate in any language.
@@ -83,19 +84,20 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     """Filters from the rows of ``docs`` (doc_id, text, lang) with non-null text and lang.
 
     At most about ``rows`` rows are used, chosen by a hash of doc_id with the
-    same bound for each language; n-grams are counted on the executors.  Of more
-    than 64 languages the most frequent are kept.  No labelled rows: no languages.
+    same bound for each language, which more than 64 languages don't lower;
+    n-grams are counted on the executors.  No labelled rows: no languages.
     """
     labelled = docs.where("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     languages = tuple(sorted(r["lang"] for r in counts))
     if not languages:
-        return Filters((), np.zeros(1, np.uint64), np.zeros(0))
-    share = max(1, rows // len(languages))
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))])
-    index = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+        return Filters((), np.zeros((1, 1), np.uint64), np.zeros(0))
+    share = max(1, rows // min(len(languages), WORD_BITS))
+    index = {lang: i for i, lang in enumerate(languages)}
+    known = docs.sparkSession.createDataFrame([(r["lang"], index[r["lang"]], min(1.0, share / r["count"])) for r in counts], "own string, l long, rate double")
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < rate[F.col("lang")]).select(index[F.col("lang")].alias("l"), "text")
+    # One row per language, collected above.
+    sample = labelled.join(F.broadcast(known), F.col("lang") == F.col("own")).where(draw < F.col("rate")).select("l", "text")
 
     def make():
         np.seterr(over="ignore")
@@ -118,12 +120,13 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     seen = seen[seen["rate"] >= MIN_SHARE * seen.groupby("gram")["rate"].transform("max")]
     size = 1 << max(10, int(np.ceil(np.log2(16 * max(1, seen["gram"].nunique())))))
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    slots = np.zeros(size, dtype=kind)
+    slots = np.zeros((-(-len(languages) // WORD_BITS), size), dtype=kind)
     with np.errstate(over="ignore"):
         grams = seen["gram"].to_numpy().view(np.uint64)
+        word, bit = np.divmod(seen["l"].to_numpy(), WORD_BITS)
         for at in _slots(grams, size):
-            np.bitwise_or.at(slots, at, (np.uint64(1) << seen["l"].to_numpy().astype(np.uint64)).astype(kind))
-    fill = np.array([((slots >> kind(l)) & kind(1)).mean() for l in range(len(languages))])
+            np.bitwise_or.at(slots, (word, at), (np.uint64(1) << bit.astype(np.uint64)).astype(kind))
+    fill = np.array([((slots[l // WORD_BITS] >> kind(l % WORD_BITS)) & kind(1)).mean() for l in range(len(languages))])
     return Filters(languages, slots, fill**HASHES)
 
 
@@ -133,13 +136,13 @@ def _votes(chunk: Chunk, filters: Filters) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(chunk.n)
     kind = filters.slots.dtype.type
     for grams, first in ngrams(chunk):
-        mask = None
-        for at in _slots(grams, len(filters.slots)):
-            mask = filters.slots[at] if mask is None else mask & filters.slots[at]
+        masks = None
+        for at in _slots(grams, filters.slots.shape[1]):
+            masks = [w[at] if masks is None else masks[k] & w[at] for k, w in enumerate(filters.slots)]
         n = np.diff(first)
         total += n
         for l in range(len(filters.languages)):
-            running = np.concatenate([[0], np.cumsum((mask >> kind(l)) & kind(1), dtype=np.int64)])
+            running = np.concatenate([[0], np.cumsum((masks[l // WORD_BITS] >> kind(l % WORD_BITS)) & kind(1), dtype=np.int64)])
             raw = running[first[1:]] - running[first[:-1]]
             hits[:, l] += np.maximum(0, raw - n * filters.false_rate[l]) / (1 - filters.false_rate[l])
     return hits, total

@@ -282,6 +282,20 @@ def test_language_edge_cases(spark):
     assert language.predict(docs.limit(0), filters).count() == 0
 
 
+def test_language_learns_more_than_64_languages(spark):
+    # Language k has words of its own; the later ones have fewer rows.
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words) for _ in range(20)), f"l{k:02}") for i in range(12 if k < 64 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.fit(docs)
+    assert len(filters.languages) == 70 and filters.slots.shape[0] == 2
+    told = language.predict(docs, filters).collect()
+    assert len(told) == len(rows) and [r for r in told if r.lang_pred != r.lang] == []
+
+
 def test_bloom_filters_have_no_false_negatives():
     slots = np.zeros(1 << 12, dtype=np.uint8)
     grams = np.arange(1, 200, dtype=np.uint64)
