@@ -27,7 +27,7 @@ def take_up(spark: SparkSession, store: Store, folder: str, schema: StructType,
 
     def sink(batch: DataFrame, number: int) -> None:
         note = f"stream {checkpoint} {number}"
-        if any(store.commit(c).note == note for c in store.ancestors(store.head(branch).id)[:50]):
+        if any(store.commit(c).note == note for c in store.ancestors(store.head(branch).id)):
             return
         rows = query(batch)
         old = store.version(table, branch)

@@ -313,3 +313,17 @@ def test_streaming_takes_every_file_once(spark, store, tmp_path):
 def test_all_violations_are_counted(spark):
     t = spark.range(2500).selectExpr("nullif(id, id) as s")
     assert quality.run_test("x", quality.not_null(t, "s")).violations == 2500
+
+
+def test_a_replayed_batch_is_known_after_many_commits(spark, store, tmp_path):
+    import shutil
+
+    from millrace.streaming.windows import take_up
+
+    spark.range(3).write.parquet(f"file://{tmp_path}/in/a")
+    args = (spark, store, f"file://{tmp_path}/in/*", StructType.fromDDL("id long"), "s.t", f"file://{tmp_path}/cp")
+    assert take_up(*args) == 1
+    for _ in range(60):
+        store.record("main", {}, "another writer")
+    shutil.rmtree(f"{tmp_path}/cp/commits")  # as after a crash before the stream noted the batch
+    assert take_up(*args) == 0 and store.table("s.t").count() == 3
