@@ -9,6 +9,7 @@ ASCII lower-casing and code point counts are exact on bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Ranges longer than this many bytes are hashed one by one.
+_LONG = 256
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -33,26 +34,6 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            self.up = np.full(size, _BASE, dtype=np.uint64)
-            self.down = np.full(size, _INVERSE, dtype=np.uint64)
-            self.up[0] = self.down[0] = 1
-            np.multiply.accumulate(self.up, out=self.up)
-            np.multiply.accumulate(self.down, out=self.down)
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
-
 class Chunk:
     """Some whole texts laid end to end as bytes (null texts count as empty)."""
 
@@ -62,17 +43,28 @@ class Chunk:
     def lower(self) -> "Chunk":
         return Chunk(_LOWER[self.data], self.offsets, self.first)
 
-    def prefix_hash(self) -> np.ndarray:
-        """Prefix sums whose differences identify byte ranges; see ``range_hash``."""
-        up, _ = _powers.upto(len(self.data) + 1)
-        out = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=out[1:])
-        return out
-
-    def range_hash(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
-        _, down = _powers.upto(len(self.data) + 1)
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    def range_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte ranges, equal for equal bytes wherever they stand.
+
+        Every 8 bytes go through the finaliser before the next 8 join, so
+        ranges of up to 8 bytes and equal length never collide, and longer ones
+        don't by their structure (sums of powers modulo 2**64 would).
+        """
+        size = ends - starts
+        h = mix(size.astype(np.uint64), 4)
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        wide = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        live, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+        while len(live):
+            left = size[live] - at
+            block = wide[starts[live] + at]
+            last = left < 8
+            block[last] &= (np.uint64(1) << (8 * left[last]).astype(np.uint64)) - np.uint64(1)
+            h[live] = mix(h[live] ^ block, 5)
+            live, at = live[left > 8], at + 8
+        for i in np.flatnonzero(size > _LONG).tolist():
+            h[i] = int.from_bytes(blake2b(self.data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return h
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and per text the index of its first word (n + 1 entries)."""

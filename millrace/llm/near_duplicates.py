@@ -83,7 +83,7 @@ def shingle_sets(chunk: Chunk, k: int) -> Iterator[np.ndarray]:
     """
     low = chunk.lower()
     starts, ends, first = low.words()
-    h = low.range_hash(low.prefix_hash(), starts, ends)
+    h = low.range_hash(starts, ends)
     rolled = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
     for j in range(k):
         rolled = mix(rolled * np.uint64(0x100000001B3) + h[j : len(h) - k + 1 + j], 1)

@@ -58,7 +58,7 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Square roots of bucket shares of words and of character n-grams; one row per text."""
     low = chunk.lower()
     starts, ends, first = low.words()
-    h = low.range_hash(low.prefix_hash(), starts, ends)
+    h = low.range_hash(starts, ends)
     words = _shares((h & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), first, chunk.n, WORD_BUCKETS)
     wide = chunk.data.astype(np.uint64)
     n = max(0, len(wide) - ORDER + 1)
@@ -123,8 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def statistics(chunk: Chunk) -> dict:
     """word_chars, n_symbols, n_dup_lines, n_repeat_words and n_words of each text."""
     starts, ends, first = chunk.words()
-    prefix = chunk.prefix_hash()
-    h = chunk.range_hash(prefix, starts, ends)
+    h = chunk.range_hash(starts, ends)
     solid = np.zeros(len(chunk.data) + 1, dtype=np.int64)
     np.add.at(solid, starts, 1)
     np.add.at(solid, ends, -1)
@@ -134,12 +133,12 @@ def statistics(chunk: Chunk) -> dict:
         "n_words": counts,
         "word_chars": _sums(inside & ((chunk.data & 0xC0) != 0x80), chunk.offsets),
         "n_symbols": _sums(_SYMBOL[chunk.data], chunk.offsets),
-        "n_dup_lines": _dup_lines(chunk, prefix, starts),
+        "n_dup_lines": _dup_lines(chunk, starts),
         "n_repeat_words": _repeat_words(h, counts, first),
     }
 
 
-def _dup_lines(chunk: Chunk, prefix: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _dup_lines(chunk: Chunk, starts: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of their text."""
     breaks = np.flatnonzero(chunk.data == 10)
     begin = np.sort(np.concatenate([chunk.offsets[:-1], breaks + 1]), kind="stable")
@@ -147,7 +146,7 @@ def _dup_lines(chunk: Chunk, prefix: np.ndarray, starts: np.ndarray) -> np.ndarr
     owner = np.repeat(np.arange(chunk.n), 1 + _sums(chunk.data == 10, chunk.offsets))
     worded = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, owner = begin[worded], stop[worded], owner[worded]
-    key = chunk.range_hash(prefix, begin, stop)
+    key = chunk.range_hash(begin, stop)
     order = np.lexsort((key, owner))
     same = (key[order][1:] == key[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     return np.bincount(owner[order][1:][same], minlength=chunk.n)
