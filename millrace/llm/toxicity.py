@@ -1,8 +1,8 @@
 """Toxicity from a learned lexicon, misspellings included (operator 9).
 
-Lexicon terms and stems are learned from labelled rows.  A trie holds the
-terms; a Levenshtein automaton of a word, intersected with the trie, finds the
-terms that the word misspells.  Every hit is weighed by its context window:
+Lexicon terms and stems are learned from labelled rows.  A trie holds every
+term that can be misspelled; a Levenshtein automaton of a word, intersected
+with the trie, finds the terms that the word misspells.  Every hit is weighed by its context window:
 quotation marks around it and words of reporting before it set quotation apart
 from abuse.  A calibrated logistic regression turns a document's hits into a
 probability.
@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 from ._linear import calibrate, fit_logistic, sigmoid
 from ._stage import map_arrow, settle
 
-#: Bounds on the labelled rows used to fit, by label, and on lexicon sizes.
-FIT_TOXIC, FIT_CLEAN, MAX_TERMS, MAX_STEMS = 2500, 7500, 3000, 500
+#: Bounds on the labelled rows used to fit, by label; the lexicon is bounded by these rows alone.
+FIT_TOXIC, FIT_CLEAN = 2500, 7500
 #: A term needs this many different contexts in toxic rows and this share of all its contexts.
 TERM_CONTEXTS, STEM_CONTEXTS, PRECISION = 5, 15, 0.75
 STEM_LENGTHS = range(4, 8)
-#: Words at least this long may misspell a term, by one insertion, deletion or substitution.
-FUZZY_LENGTH = 5
+#: Terms and words at least this long may misspell one another, by one insertion, deletion, substitution or swap of neighbours.
+FUZZY_LENGTH = 4
+#: A word with this many different contexts in clean rows, and no term itself, is spelled as meant.
+ORDINARY_CONTEXTS = 3
 WINDOW = 8
-WORD_MEMORY = 250_000
+#: Tokens that a worker remembers, and the longest of them; longer ones are looked up each time.
+WORD_MEMORY, REMEMBERED_LENGTH = 250_000, 64
 
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„‘’«»…¡¿–—"
 _QUOTES = frozenset("\"“”„«»")
@@ -45,6 +48,7 @@ N_FEATURES = 10
 class Lexicon:
     terms: dict[str, float]
     stems: dict[str, float]
+    ordinary: frozenset[str] = frozenset()
 
 
 @dataclass(frozen=True)
@@ -59,14 +63,15 @@ class Model:
 class Trie:
     """Terms by characters, searched with a word's Levenshtein automaton.
 
-    Only terms long enough to be misspelled are held, forms of stems among
-    them: a stem is matched by exact prefix, a misspelling within it is not.
+    Forms of stems are held like other terms: a stem is matched by exact
+    prefix, so a misspelling within it is found through its forms.
     """
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.root: dict = {}
         self.heads: dict[str, set[int]] = {}  # halves of terms -> lengths of words that may misspell them
         self.tails: dict[str, set[int]] = {}
+        self.crossed: set[str] = set()  # the one edit that touches both halves
         for term, weight in terms.items():
             node = self.root
             for c in term:
@@ -75,11 +80,13 @@ class Trie:
             half = len(term) // 2
             for halves, part in ((self.heads, term[:half]), (self.tails, term[half:])):
                 halves.setdefault(part, set()).update((len(term) - 1, len(term), len(term) + 1))
+            if half:
+                self.crossed.add(term[: half - 1] + term[half] + term[half - 1] + term[half + 1 :])
         self.head_sizes = sorted({len(h) for h in self.heads if h})
         self.tail_sizes = sorted({len(t) for t in self.tails})
 
     def may_match(self, word: str) -> bool:
-        """One edit leaves a term's first or second half intact, at the word's start or end."""
+        """One edit leaves a term's first or second half intact, at the word's start or end, but for a swap across the middle."""
         size = len(word)
         for n in self.head_sizes:
             if size in self.heads.get(word[:n], ()):
@@ -87,37 +94,41 @@ class Trie:
         for n in self.tail_sizes:
             if size in self.tails.get(word[-n:], ()):
                 return True
-        return False
+        return word in self.crossed
 
     def within_one(self, word: str) -> tuple[str, float] | None:
-        """The heaviest term at edit distance one at most.
+        """The heaviest term at most one edit away; a swap of neighbours is one edit.
 
-        The automaton's states are pairs (characters of the word consumed,
-        edits made); the search follows trie edges that keep a state alive.
+        The automaton's states are (characters of the word consumed, edits
+        made).  Without an edit a term's path is the word's own; from each
+        state on it every kind of edit leads to a state with one edit made,
+        from which the rest of the word must follow exactly.
         """
-        n, best = len(word), None
-        stack = [(self.root, frozenset({(0, 0), (1, 1)} if n else {(0, 0)}))]
-        while stack:
-            node, states = stack.pop()
-            if "" in node and any(n - i + e <= 1 for i, e in states):
-                if best is None or (node[""][1], node[""][0]) > (best[1], best[0]):
-                    best = node[""]
+        found = []
+
+        def follow(node: dict | None, at: int) -> None:
+            while node is not None and at < len(word):
+                node, at = node.get(word[at]), at + 1
+            if node is not None and "" in node:
+                found.append(node[""])
+
+        node, n = self.root, len(word)
+        for i in range(n + 1):
             for c, child in node.items():
-                if c == "":
-                    continue
-                alive = set()
-                for i, e in states:
-                    if i < n and word[i] == c:
-                        alive.add((i + 1, e))
-                    if e == 0:
-                        alive.add((i, 1))  # the term's character is missing in the word
-                        if i < n:
-                            alive.add((i + 1, 1))  # another character stands in its place
-                        if i + 1 < n and word[i + 1] == c:
-                            alive.add((i + 2, 1))  # the word has one character more
-                if alive:
-                    stack.append((child, frozenset(alive)))
-        return best
+                if c:
+                    follow(child, i)  # the word lacks the term's character
+                    if i < n and c != word[i]:
+                        follow(child, i + 1)  # another character stands in its place
+            if i < n:
+                follow(node, i + 1)  # the word has one character more
+            if i + 1 < n and word[i] != word[i + 1] and word[i + 1] in node:
+                follow(node[word[i + 1]].get(word[i]), i + 2)  # two neighbours are swapped
+            if i == n and "" in node:
+                found.append(node[""])
+            node = node.get(word[i]) if i < n else None
+            if node is None:
+                break
+        return max(found, key=lambda hit: (hit[1], hit[0])) if found else None
 
 
 class Hits(dict):
@@ -137,9 +148,11 @@ class Hits(dict):
         return _latest
 
     def __missing__(self, token: str):
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[token] = self.look_up(token.strip(_PUNCTUATION))
+        found = self.look_up(token.strip(_PUNCTUATION))
+        if len(token) <= REMEMBERED_LENGTH:
+            if len(self) >= self.limit:
+                self.clear()
+            self[token] = found
         return found
 
     def look_up(self, word: str):
@@ -149,7 +162,7 @@ class Hits(dict):
         for n in STEM_LENGTHS:
             if len(word) >= n and word[:n] in self.lexicon.stems:
                 return STEM, word[:n], self.lexicon.stems[word[:n]]
-        if len(word) >= FUZZY_LENGTH and self.trie.may_match(word):
+        if len(word) >= FUZZY_LENGTH and word not in self.lexicon.ordinary and self.trie.may_match(word):
             near = self.trie.within_one(word)
             if near:
                 return FUZZY, near[0], near[1]
@@ -205,7 +218,7 @@ def _sample(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[DataFra
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Terms and stems whose contexts (neighbouring words) are mostly in toxic rows.
+    """Terms and stems whose contexts (neighbouring words) are mostly in toxic rows, and ordinary words one edit from a term.
 
     Contexts and not occurrences are counted, so that copies of a document
     don't make its words into terms.
@@ -218,7 +231,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
                 words = [t.strip(_PUNCTUATION) for t in text.lower().split()]
                 seen = set()
                 for i, w in enumerate(words):
-                    if 3 < len(w) <= 40:
+                    if w:
                         seen.add((w, zlib.crc32(" ".join(words[max(0, i - 1) : i] + ["_"] + words[i + 1 : i + 2]).encode())))
                 for w, c in seen:
                     words_out.append(w)
@@ -235,16 +248,27 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         return Lexicon({}, {})
     base = sums["bad"] / (sums["bad"] + sums["good"])
 
-    def weigh(frame: DataFrame, contexts: int, most: int) -> dict[str, float]:
-        enough = frame.where((F.col("bad") >= contexts) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good"))))
-        rows = enough.orderBy(F.desc("bad"), "word").limit(most).collect()
+    def weigh(frame: DataFrame, contexts: int) -> dict[str, float]:
+        # Bounded by the sample: each row stands for ``contexts`` of its contexts at least.
+        rows = frame.where((F.col("bad") >= contexts) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good")))).orderBy("word").collect()
         # Shrunk log odds against the base rate.
         return {r["word"]: float(np.log((r["bad"] + 4 * base) / (r["good"] + 4 * (1 - base))) - np.log(base / (1 - base))) for r in rows}
 
     prefixes = words.select(F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS])).alias("word"), "bad", "good").where("word is not null")
-    stems = weigh(prefixes.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("forms")).where("forms >= 4"), STEM_CONTEXTS, MAX_STEMS)
+    stems = weigh(prefixes.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("forms")).where("forms >= 4"), STEM_CONTEXTS)
     stems = {s: w for s, w in stems.items() if not any(s[:n] in stems for n in range(STEM_LENGTHS.start, len(s)))}
-    return Lexicon(weigh(words, TERM_CONTEXTS, MAX_TERMS), stems)
+    terms = weigh(words, TERM_CONTEXTS)
+
+    def near():
+        hits = Hits(Lexicon(terms, {}))
+
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            yield {"word": [w for w in batch.column(0).to_pylist() if (hits.look_up(w) or (0,))[0] == FUZZY]}
+
+        return step
+
+    common = words.where((F.col("good") >= ORDINARY_CONTEXTS) & (F.col("bad") < PRECISION * (F.col("bad") + F.col("good"))))
+    return Lexicon(terms, stems, frozenset(r["word"] for r in map_arrow(common.select("word"), near, "word string").collect()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:

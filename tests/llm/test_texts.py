@@ -8,11 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from millrace.llm import bpe, language, mixing, pii, quality, secrets, toxicity
+from millrace.llm._text import chunks
+from millrace.llm.near_duplicates import shingle_sets
 from millrace.llm.queries import QUERIES, fold
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -114,6 +117,33 @@ def test_quality_statistics_and_verdicts(spark):
     assert sum(k == bool(q) for q, k in marked) >= 0.95 * len(marked)
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 64, 128, 256, 1024, 4096])
+def test_long_words_are_told_apart(n):
+    """Sums of powers modulo 2**64 take these two words for one, whatever the base."""
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    texts = [f"{x}\n{y}", f"{x}\n{x}", f"q {x} r q {y} r", f"q {x} r q {x} r", f"q {x} r", f"q {y} r"]
+    with np.errstate(over="ignore"):
+        for chunk in chunks(pa.array(texts)):
+            got = quality.statistics(chunk)
+            sets = [set(s.tolist()) for s in shingle_sets(chunk, 3)]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert list(zip(*(got[k].tolist() for k in names))) == [plain_statistics(t) for t in texts]
+    assert not sets[4] & sets[5] and sets[4] <= sets[2] and len(sets[2]) == 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab\n é", max_size=30), max_size=6))
+def test_statistics_of_small_texts(texts):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    with np.errstate(over="ignore"):
+        got = [row for chunk in chunks(pa.array(texts, pa.string())) for row in zip(*(quality.statistics(chunk)[k].tolist() for k in names))]
+    assert got == [plain_statistics(t) for t in texts]
+
+
 def test_quality_generalises(spark):
     """A model fitted without a fold judges that fold."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
@@ -314,22 +344,29 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def edit_distance(a, b):
-    row = list(range(len(b) + 1))
+    """Insertions, deletions, substitutions and swaps of neighbours."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        row, old = [i], row
+        row = [i]
         for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+            row.append(min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def test_levenshtein_automaton_matches_distances():
-    terms = {"stupid": 3.0, "studio": 2.0, "worthless": 4.0, "loser": 1.0}
+    terms = {"stupid": 3.0, "studio": 2.0, "worthless": 4.0, "loser": 1.0, "scum": 5.0}
     trie, rng = toxicity.Trie(terms), random.Random(2)
-    for _ in range(3000):
+    for _ in range(4000):
         word = list(rng.choice(list(terms)))
         for _ in range(rng.randrange(3)):
             k = rng.randrange(len(word) + 1)
-            word[k : k + rng.randrange(2)] = rng.choice(["", "x", "s"])
+            if rng.random() < 0.3 and k + 1 < len(word):
+                word[k], word[k + 1] = word[k + 1], word[k]
+            else:
+                word[k : k + rng.randrange(2)] = rng.choice(["", "x", "s"])
         word = "".join(word)
         near = [t for t in terms if edit_distance(word, t) <= 1]
         got = trie.within_one(word)
@@ -337,6 +374,54 @@ def test_levenshtein_automaton_matches_distances():
         assert not near or trie.may_match(word)
 
 
+def one_edit_forms(term, letters="aexz0"):
+    forms = {term[:i] + term[i + 1 :] for i in range(len(term))} | {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)}
+    forms |= {term[:i] + c + term[j:] for i in range(len(term) + 1) for j in (i, i + 1) if j <= len(term) for c in letters}
+    return forms
+
+
+def test_every_misspelling_of_every_learned_term_is_found(spark):
+    """Brute force over the lexicon learned at sf0.1; ordinary words of clean rows are spelled as meant."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels, fold(5) != 0).lexicon
+    hits = toxicity.Hits(lexicon)
+    long = [t for t in lexicon.terms if len(t) >= 5]
+    assert len(long) > 80 and {"loser", "idiot", "worthless"} <= set(long)
+    missed, forms = [], 0
+    for term in long:
+        for form in one_edit_forms(term):
+            if len(form) < toxicity.FUZZY_LENGTH or form in lexicon.ordinary:
+                continue
+            forms += 1
+            assert edit_distance(form, term) <= 1
+            if hits.look_up(form) is None or hits.trie.within_one(form) is None:
+                missed.append((term, form))
+    assert missed == [] and forms > 50 * len(long)
+    assert hits.look_up("lxser") and hits.look_up("idoit") and hits.look_up("scvm")
+
+
+def test_toxicity_score_equals_a_plain_version(spark):
+    """Every document's score from the model's parts, with terms found by edit distance instead of the automaton."""
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, F.lit(True))
+    lexicon = model.lexicon
+
+    class Plain(dict):
+        def __missing__(self, token):
+            word = token.strip(toxicity._PUNCTUATION)
+            stem = next((word[:n] for n in toxicity.STEM_LENGTHS if len(word) >= n and word[:n] in lexicon.stems), None)
+            near = [t for t in lexicon.terms if len(t) >= 4 and abs(len(t) - len(word)) <= 1 and edit_distance(t, word) <= 1] if len(word) >= 4 and word not in lexicon.ordinary else []
+            best = max(near, key=lambda t: (lexicon.terms[t], t), default=None)
+            self[token] = (1, word, lexicon.terms[word]) if word in lexicon.terms else (2, stem, lexicon.stems[stem]) if stem else (3, best, lexicon.terms[best]) if best else None
+            return self[token]
+
+    plain = Plain()
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        x = (toxicity.features(r.text or "", plain) - model.mean) / model.spread
+        assert got[r.doc_id] == pytest.approx(float(toxicity.sigmoid(x @ model.weights + model.bias)))
+
+
 def test_quotation_lowers_toxicity_features():
     hits = toxicity.Hits(toxicity.Lexicon({"scum": 5.0}, {}))
     plain, said = (toxicity.features(t, hits) for t in ("you are scum all of you", "the word “scum” is rude"))
