@@ -66,12 +66,14 @@ class Chunk:
             h[i] = int.from_bytes(blake2b(self.data[starts[i] : ends[i]], digest_size=8).digest(), "little")
         return h
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and per text the index of its first word (n + 1 entries)."""
+    def words(self, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and per text the index of its first word (n + 1 entries).
+
+        ``breaks`` marks the ASCII bytes between words: white space, if not given."""
         if not len(self.data):
             none = np.zeros(0, dtype=np.int64)
             return none, none, np.zeros(self.n + 1, dtype=np.int64)
-        solid = ~_SPACE[self.data]
+        solid = ~breaks[self.data]
         edge = np.zeros(len(self.data) + 1, dtype=bool)
         edge[self.offsets] = True
         before = np.empty_like(solid)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -230,7 +231,7 @@ def test_secret_rules(parts):
 def test_viterbi_stretches_equal_the_whole_path():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        tagger = secrets.Tagger(None, None, None, None, rng.normal(size=(3, 3)) * 2)
+        tagger = secrets.Tagger({}, rng.normal(size=(3, 3)) * 2, None)
         e = rng.normal(size=(14, 3)) * 4
         e[:, secrets.O] += 3
         path, want, at = [*secrets.viterbi(e, tagger.move, False, False), secrets.O], [], None
@@ -253,15 +254,85 @@ def test_secrets_query_and_tagger(spark):
         assert g.base_sha256 == hashlib.sha256(secrets.listing(base).encode()).hexdigest()
         assert set(secrets.listing(base).split(",")) <= set(g.spans.split(",")) or not base
         assert g.n_assign == sum(k == "assign" for k, _, _ in base)
-    # A key that no base rule covers, in the place where secrets stand.
-    probe = "some words stand before the word token = \"zQ9x7Lk2mWv8Rt4Yp1Hs6Bn3Jd5Fg0Ac\" and others follow it after that".replace("token =", "token  is:")
-    assert len(secrets.scan(spark.createDataFrame([(1, probe)], "doc_id long, text string"), tagger).collect()) == 1
     empty = secrets.fit(docs.limit(0))
     out = secrets.scan(odd_docs(spark), empty).collect()
     assert len(out) == len(ODD) + 2 and all(r.spans == "" for r in out)
     assert secrets.scan(docs.limit(0), tagger).count() == 0
 
 
+def planted_secrets(rng):
+    """Secrets outside the base rules: what stands before each, and its value."""
+    alnum = string.ascii_letters + string.digits
+    some = lambda letters, n: "".join(rng.choices(letters, k=n))
+    return rng.choice(
+        (
+            ("Authorization: Bearer ", some(alnum, 40)),
+            ("", "ghp_" + some(alnum, 36)),
+            ("", "sk_live_" + some(alnum, 24)),
+            ("private_key: ", some(alnum + "+/", 44)),
+            ("", some("0123456789ABCDEF", 40)),
+            ("pwd=", some(alnum, 12)),
+            ("access key ", some(alnum, 20)),
+            ("credentials: ", some(alnum, 18)),
+            ("", some(alnum, 32)),
+            ('token  is: "', some(alnum, 32)),
+        )
+    )
+
+
+def test_tagger_finds_planted_secrets(spark):
+    """100 secrets that no base rule finds, in texts of the table: recall 0.8 and precision 0.9 at least."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    tagger, rng = secrets.fit(docs), random.Random(8)
+    rows, places = [], {}
+    for i, t in enumerate(r.text for r in docs.orderBy("doc_id").collect() if r.text):
+        if i < 400 and i % 4 == 0:
+            before, value = planted_secrets(rng)
+            at = rng.choice([m.start() for m in re.finditer(r"\s", t)] or [len(t)])
+            t = f"{t[:at]} {before}{value}{t[at:]}"
+            places[i] = (at + 1 + len(before), at + 1 + len(before) + len(value))
+            assert all(b <= places[i][0] or a >= places[i][1] for _, a, b in plain_secrets(t))
+        rows.append((i, t))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()
+    texts, hits, false = dict(rows), 0, 0
+    for r in got:
+        base = plain_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(secrets.listing(base).encode()).hexdigest()
+        found = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("crf:")]
+        a, b = places.get(r.doc_id, (0, 0))
+        right = [s for s in found if s[0] < b and s[1] > a]
+        hits += bool(right)
+        false += len(found) - len(right)
+    assert len(places) == 100 and hits >= 80 and hits >= 0.9 * (hits + false)
+
+
+def test_tagging_equals_a_plain_version(spark):
+    """Spans of every text of a table: one whole Viterbi path a text, worked out plainly."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tagger = secrets.fit(docs)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(-1, "key ZQ9x7Lk2mWv8Rt4Yp1Hs6Bn3Jd5Fg0Ac and é sk_live_9x7Lk2mWv8Rt4Yp1Hs6Bn3 end"), (-2, "")]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()}
+    tagged = 0
+    for doc_id, text in rows:
+        spans = plain_secrets(text or "")
+        with np.errstate(over="ignore"):
+            for chunk in chunks(pa.array([text or ""])):
+                starts, ends, _, index = secrets.features(chunk, tagger.rare)
+                e = tagger.evidence(index)
+        if len(e):
+            path = [*secrets.viterbi(e, tagger.move, False, False), secrets.O]
+            where = [len((text or "").encode()[:k].decode()) for k in (*starts, *ends)]
+            for k, tag in enumerate(path[:-1]):
+                if tag == secrets.B or tag == secrets.I and (k == 0 or path[k - 1] == secrets.O):
+                    end = next(j for j in range(k + 1, len(path)) if path[j] != secrets.I)
+                    a, b = where[k], where[len(starts) + end - 1]
+                    if all(b <= s or a >= t for _, s, t in plain_secrets(text)):
+                        spans.append(("crf", a, b))
+        tagged += any(s[0] == "crf" for s in spans)
+        assert got[doc_id] == secrets.listing(sorted(spans, key=lambda s: (s[1], secrets._RANK[s[0]])))
+    assert tagged >= 1
+
+
 PII_RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
