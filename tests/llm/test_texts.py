@@ -352,6 +352,47 @@ def test_pii_rules(text):
     assert [s for s in pii.Finder().find(text) if s[0] in PII_RULES] == plain_pii(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("mail 12 Main Street, Springfield, IL 62704 now", "address:12 Main Street, Springfield, IL 62704"),
+        ("at 221B Baker St. today", "address:221B Baker St."),
+        ("au 10 rue de la Paix, 75002 Paris !", "address:10 rue de la Paix, 75002 Paris"),
+        ("en Calle Mayor 12, 28013 Madrid.", "address:Calle Mayor 12, 28013 Madrid"),
+        ("in der Hauptstraße 5, 10115 Berlin", "address:Hauptstraße 5, 10115 Berlin"),
+        ("host 2001:db8::8a2e:370:7334 up", "ipv6:2001:db8::8a2e:370:7334"),
+        ("IBAN: DE89 3704 0044 0532 0130 00,", "account:DE89 3704 0044 0532 0130 00"),
+        ("account no. 12345678,", "account:12345678"),
+        ("http://user:pw@host.com/x", "url:user:pw@host.com"),
+        ("at 12:30:45 the 3 people in the Street met std::vector a::b 10:20", ""),
+        ("rue the day, place it, calle sin nombre, der Platz 5", ""),
+    ],
+)
+def test_pii_added_kinds(text, want):
+    assert ",".join(f"{k}:{text[a:b]}" for k, a, b in pii.Finder().find(text) if k not in PII_RULES) == want
+
+
+ANY = st.characters(exclude_categories=["Cs"])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["iban", "IBAN: ", "account", " no ", "DE89", "K", "ſ", "İ", "ı", "١٢", "12 ", "://", "u:p@h", "::", ":a", "1 A", " Street", " St", "rue ", "straße ", "x", "@", ".", "+1", " ", "\n", "é"]), st.text(ANY, max_size=4)), max_size=14).map("".join))
+def test_pii_on_all_of_unicode(text):
+    """Nothing raises, spans lie inside the text, spans of a kind don't overlap, base kinds are the plain ones."""
+    found = pii.Finder().find(text)
+    assert [s for s in found if s[0] in PII_RULES] == plain_pii(text)
+    for kind in pii.KINDS:
+        own = [(a, b) for k, a, b in found if k == kind]
+        assert all(0 <= a < b <= len(text) for a, b in own) and all(x[1] <= y[0] for x, y in zip(own, own[1:]))
+    assert all(text[a:b].isascii() for k, a, b in found if k in ("account", "ipv6"))
+
+
+def test_pii_crash_of_letters_that_fold_to_ascii(spark):
+    texts = ["iban: DE12 \u212a234 5678 9012 3456 78", "IBAN \u0130\u013112 ſſſſ 1234 5678 9012"]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.spans for r in sorted(got)] == ["", ""]
+
+
 def test_pii_additions_and_edge_cases(spark):
     found = pii.Finder().find("IBAN: DE89 3704 0044 0532 0130 00, account no. 12345678, http://user:pw@host.com/x")
     assert {"account", "url"} <= {k for k, _, _ in found}
