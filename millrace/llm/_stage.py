@@ -1,7 +1,9 @@
 """Where corpus operators keep intermediate tables, and how their code reaches executors.
 
-Tables go under the folder that the session names in ``spark.checkpoint.dir``;
-only where it is unset (tests, notebooks) a temporary folder is used.
+Tables go under the folder that the session names in ``spark.checkpoint.dir``.
+Where it is unset a temporary folder is used, if the driver's machine runs all
+tasks (tests, notebooks); on a cluster that is an error.  The tables of an
+application are deleted when its driver ends.
 """
 
 from __future__ import annotations
@@ -24,23 +26,53 @@ SLICE_BYTES = 4 << 20
 
 _own_dir: list[tempfile.TemporaryDirectory] = []
 _shipped: set[str] = set()
+_used: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share, one for each application."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.TemporaryDirectory(prefix="millrace-"))
-        atexit.register(_own_dir[0].cleanup)
-    return "file://" + _own_dir[0].name
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder: executors can't write where the driver reads")
+        if not _own_dir:
+            _own_dir.append(tempfile.TemporaryDirectory(prefix="millrace-"))
+            atexit.register(_own_dir[0].cleanup)
+        return "file://" + _own_dir[0].name
+    folder = f"{named.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Deletes the application's tables while its session still runs; a lost driver's stay for the folder's own clean-up."""
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, dots and backticks in it included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores before them while a column has them already."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -90,7 +122,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
             del batch
         _give_back()
 
-    return df.mapInArrow(run, schema)
+    # By position: mapInArrow can't look up names with dots or backticks.
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def _give_back() -> None:

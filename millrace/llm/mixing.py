@@ -7,10 +7,11 @@ source's token budget is met by complete epochs first, then by the documents
 with the smallest keys until the rest of the budget is filled.
 
 The prefix sums over keys need no sort of a whole source: keys fall into
-ordered bins, bins are summed before the shuffle, and only the one bin per
-source in which the budget runs out is sorted row by row.  Bins are sized from
-the source's row count, so that bin holds about ``BIN_ROWS`` rows however
-large the source is.
+ordered bins, bins are summed before the shuffle, and the one bin per source in
+which the budget runs out is cut into bins again, by key and, among equal keys,
+by text and row, until it holds few rows.  Only those are sorted.  So no task
+sees more than some thousand rows in order, however the weights bunch the keys
+and however many rows share an id.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import settle
+from ._stage import quoted, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
-BIN_ROWS = 4096
+#: Rows that a bin aims at, and bins of a source in one round.
+BIN_ROWS, MAX_BINS = 1024, 1 << 16
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
@@ -88,41 +90,73 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, salt: str = "mix:
     Null texts and texts without words have size 0 and nothing is taken of
     them; a source without words has target 0.  Null sources are one source.
     Rows with equal keys (rows repeating a doc_id, null ids) are ordered by
-    their text's hash and count; equal rows get shares in one order.
+    their text's hash; equal texts come in the order of reading.
     A null or non-positive weight counts as the smallest, 1/16.
     """
     quality = F.greatest(F.coalesce(weight if weight is not None else text_quality(F.col("text")), F.lit(0.0)), F.lit(0.0625))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), quality.alias("weight"), F.xxhash64("text").alias("tie"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    whole = [F.col(quoted(c)) for c in docs.columns]
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        word_count(F.col("text")).alias("size"),
+        quality.alias("weight"),
+        F.xxhash64("text").alias("tie"),
+        F.monotonically_increasing_id().alias("line"),
+        *([F.struct(*whole).alias("row")] if carry else []),
+    )
     # Texts are read once; what follows works on these few numbers a document (and carries its row along, if asked to).
     rows = settle(rows.withColumn("key", -F.ln(uniform(F.col("doc_id"), salt)) / F.col("weight")))
 
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("bins", F.ceil(F.col("n_docs") / F.lit(BIN_ROWS)).cast("long"))
     # One row per source; joined without a hint, so that Spark broadcasts it only where its size allows.
-    placed = rows.join(sources.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    # 1 - exp(-key) is monotone in the key and spreads the keys over (0, 1).
-    placed = placed.withColumn("bin", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("bins")), F.col("bins") - 1))
-
-    bins = placed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.max("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    bins = bins.withColumn("below", F.coalesce(F.sum("bin_size").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    state = F.when(F.col("below") + F.col("bin_size") <= F.col("rest"), F.lit(1)).when(F.col("below") >= F.col("rest"), F.lit(0)).otherwise(F.lit(2))
-    # Per source a run of whole bins, then one cut bin: two numbers say it all.
-    cuts = bins.groupBy("source").agg(
-        F.max(F.when(state == 2, F.col("bin"))).alias("cut_bin"),
-        F.max(F.when(state == 2, F.col("below"))).alias("cut_below"),
-        F.max(F.when(state == 1, F.col("bin"))).alias("whole_bin"),
-    )
-    marked = placed.join(cuts.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    sources = settle(sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+    ends = last_documents(rows, sources)
+    placed = _with(_with(rows, sources.drop("n_docs")), ends)
+    at, end = F.struct("key", "tie", "line"), F.struct("end_key", "end_tie", "end_line")
+    more = F.coalesce((at < end) | ((at == end) & F.col("end_fits")), F.lit(False)).cast("long")
     what = ["doc_id", "source", "size", "source_size", "target", "weight"] + (["row"] if carry else [])
-    in_cut = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
-    plain = marked.where(~in_cut).withColumn("more", F.coalesce((F.col("bin") <= F.col("whole_bin")).cast("long"), F.lit(0)))
-    by_key = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = marked.where(in_cut).withColumn("ahead", F.col("cut_below") + F.coalesce(F.sum("size").over(by_key), F.lit(0)))
-    cut = cut.withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    taken = ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken")
-    return plain.select(*what, taken).unionByName(cut.select(*what, taken))
+    return placed.select(*what, ((F.col("epochs") + more) * F.col("size")).alias("taken"))
+
+
+def _with(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a table of one row per source."""
+    return rows.join(per_source.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
+
+
+def last_documents(rows: DataFrame, sources: DataFrame, bin_rows: int | None = None) -> DataFrame:
+    """Where each source's rest of the budget runs out, in the order of (key, tie, line).
+
+    Returns (source, end_key, end_tie, end_line, end_fits): the first document
+    with which the running size exceeds ``rest``, and whether at least half of
+    it fits.  Sources without a rest have no row.
+    """
+    aim = bin_rows or BIN_ROWS
+    bins = F.greatest(F.lit(2), F.least(F.ceil(F.col("n") / F.lit(aim)), F.lit(MAX_BINS)))
+    left = _with(rows.where("size > 0").select("source", "key", "tie", "line", "size"), sources.where("rest > 0").select("source", "rest", F.col("n_docs").alias("n")))
+    # 1 - exp(-key) is monotone in the key and spreads the keys of weight 1 evenly over (0, 1).
+    left = left.where("rest is not null").withColumn("below", F.lit(0.0)).withColumn("place", F.lit(1.0) - F.exp(-F.col("key")))
+    while True:
+        left = left.withColumn("bin", F.least(F.floor(F.col("place") * bins), bins - 1))
+        sums = left.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.max("rest").alias("rest"), F.max("below").alias("below"))
+        upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumn("through", F.col("below") + F.sum("bin_size").over(upto)).where(F.col("through") > F.col("rest"))
+        first = F.min_by(F.struct("bin", (F.col("through") - F.col("bin_size")).alias("below")), "bin")
+        cut = sums.groupBy("source").agg(first.alias("cut")).select("source", F.col("cut.bin").alias("cut_bin"), F.col("cut.below").alias("cut_below"))
+        left = settle(_with(left, cut).where("bin = cut_bin").select("source", "key", "tie", "line", "size", "rest", F.col("cut_below").alias("below")))
+        tie = F.col("tie").cast("double")
+        spans = left.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{n}") for c in ("key", "line") for f, n in ((F.min, "lo"), (F.max, "hi"))], F.min(tie).alias("tie_lo"), F.max(tie).alias("tie_hi"))
+        if (spans.agg(F.max("n")).first()[0] or 0) <= 4 * aim:
+            break
+        # Bins between the least and the greatest value left, of the first of key, text and line that has two.
+        part = lambda value, name: F.when(F.col(f"{name}_lo") < F.col(f"{name}_hi"), (value - F.col(f"{name}_lo")) / (F.col(f"{name}_hi") - F.col(f"{name}_lo")))
+        left = _with(left, spans).withColumn("place", F.coalesce(part(F.col("key"), "key"), part(tie, "tie"), part(F.col("line"), "line"), F.lit(0.0)))
+        left = left.select("source", "key", "tie", "line", "size", "rest", "below", "n", "place")
+    order = Window.partitionBy("source").orderBy("key", "tie", "line").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.withColumn("ahead", F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0))).where(F.col("ahead") + F.col("size") > F.col("rest"))
+    fits = (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).alias("fits")
+    end = left.groupBy("source").agg(F.min(F.struct("key", "tie", "line", fits)).alias("end"))
+    return settle(end.select("source", *[F.col(f"end.{c}").alias(f"end_{c}") for c in ("key", "tie", "line", "fits")]))
 
 
 #: The same rows in DuckDB SQL; sources are few, so the water level is found by one join.
