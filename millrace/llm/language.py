@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import map_arrow
+from ._stage import map_arrow, quoted
 from ._text import Chunk, chunks, mix
 
 ORDERS = (3, 5)
@@ -83,8 +83,8 @@ def _slots(grams: np.ndarray, size: int) -> Iterator[np.ndarray]:
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     """Filters from the rows of ``docs`` (doc_id, text, lang) with non-null text and lang.
 
-    At most about ``rows`` rows are used, chosen by a hash of doc_id with the
-    same bound for each language, which more than 64 languages don't lower;
+    At most about ``rows`` rows are used, chosen by a hash of doc_id and text with
+    the same bound for each language, which more than 64 languages don't lower;
     n-grams are counted on the executors.  No labelled rows: no languages.
     """
     labelled = docs.where("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     share = max(1, rows // min(len(languages), WORD_BITS))
     index = {lang: i for i, lang in enumerate(languages)}
     known = docs.sparkSession.createDataFrame([(r["lang"], index[r["lang"]], min(1.0, share / r["count"])) for r in counts], "own string, l long, rate double")
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     # One row per language, collected above.
     sample = labelled.join(F.broadcast(known), F.col("lang") == F.col("own")).where(draw < F.col("rate")).select("l", "text")
 
@@ -154,19 +154,21 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and coverage (0 to 1) added.
+def predict(docs: DataFrame, filters: Filters, names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """``docs`` with lang_pred, score (0 to 1) and coverage (0 to 1) added, called ``names``.
 
     ``score`` is the winner's share of all languages' corrected hits, and
     ``coverage`` the share of n-grams in its filter.  Null texts and texts
     without a letter are ``und`` with score and coverage 0; so is every text
     when no language was learned.  Ties go to the first language in code point
-    order.  All other columns pass through.
+    order.  All other columns pass through; one called like an added column (in
+    any case) is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.false_rate))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "coverage")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double, coverage double"
-    place = names.index("text")
+    added = {n.lower() for n in names}
+    passed = [f for f in docs.schema if f.name.lower() not in added]
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in passed) + f", {quoted(names[0])} string, {quoted(names[1])} double, {quoted(names[2])} double"
+    place = [f.name for f in passed].index("text")
 
     def make():
         np.seterr(over="ignore")
@@ -187,8 +189,8 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                             names_out[i] = model.languages[best[i]]
                         else:
                             score[i] = cover[i] = 0.0
-                yield {c: part.column(i) for i, c in enumerate(names)} | {"lang_pred": names_out, "score": score, "coverage": cover}
+                yield {f.name: part.column(i) for i, f in enumerate(passed)} | dict(zip(names, (names_out, score, cover)))
 
         return step
 
-    return map_arrow(docs.select(*names), make, schema)
+    return map_arrow(docs.select(*[F.col(quoted(f.name)) for f in passed]), make, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import map_arrow, settle
+from ._stage import map_arrow, quoted, settle
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _DROP, _EDGE, _SUMMARY = 0, 1, 2
@@ -203,24 +203,26 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     return map_arrow(grouped, make, "doc_id long, th long, n_lines int, bitmap binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with dropped lines removed from ``text``, and line_count, line_drops added.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, names: tuple[str, str] = ("line_count", "line_drops")) -> DataFrame:
+    """``docs`` with dropped lines removed from ``text``, and line_count and line_drops added, called ``names``.
 
-    Null texts stay null and count one line.  Any other columns pass through.
+    Null texts stay null and count one line.  Any other columns pass through;
+    one called like an added column (in any case) is replaced.
     """
-    names = docs.columns
-    wide = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    maps = bitmaps.select(F.col("doc_id").alias("__id"), F.col("th").alias("__mth"), F.col("bitmap").alias("__bitmap"))
-    joined = wide.join(maps, (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__mth")), "left").select(*[docs[c] for c in names if c != "text"], docs["text"].cast("string").alias("text"), "__bitmap")
-    others = [c for c in names if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__bitmap") + ", line_count long, line_drops long"
+    added = {n.lower() for n in names}
+    passed = [f for f in docs.schema if f.name.lower() not in added]
+    own = F.struct(*[(F.col(quoted(f.name)).cast("string") if f.name == "text" else F.col(quoted(f.name))).alias(f.name) for f in passed])
+    wide = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), own.alias("row"))
+    joined = wide.join(bitmaps.select(F.col("doc_id").alias("id"), "th", "bitmap"), ["id", "th"], "left").select("row.*", F.col("bitmap").alias("".join(f.name for f in passed) + "_bitmap"))
+    others = [(i, f.name) for i, f in enumerate(passed) if f.name != "text"]
+    place = [f.name for f in passed].index("text")
+    types = ["string" if f.name == "text" else f.dataType.simpleString() for f in passed]
+    schema = ", ".join(f"{quoted(f.name)} {t}" for f, t in zip(passed, types)) + f", {quoted(names[0])} long, {quoted(names[1])} long"
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            raw = batch.column(at["text"])
             texts, counts, drops = [], [], []
-            for text, bitmap in zip(raw.cast(pa.binary()).to_pylist(), batch.column(at["__bitmap"]).to_pylist()):
+            for text, bitmap in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(len(passed)).to_pylist()):
                 n = 1 if text is None else text.count(b"\n") + 1
                 lost = 0
                 if bitmap is not None:
@@ -231,13 +233,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 texts.append(text)
                 counts.append(n)
                 drops.append(lost)
-            yield {c: batch.column(at[c]) for c in others} | {"text": pa.array(texts, pa.binary()).cast(pa.string()), "line_count": counts, "line_drops": drops}
+            yield {c: batch.column(i) for i, c in others} | {"text": pa.array(texts, pa.binary()).cast(pa.string())} | dict(zip(names, (counts, drops)))
 
         return step
 
     return map_arrow(joined, make, schema)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, names: tuple[str, str] = ("line_count", "line_drops")) -> DataFrame:
     """Finds the bitmaps and applies them; see ``keep_bitmaps`` and ``apply_bitmaps``."""
-    return apply_bitmaps(docs, settle(keep_bitmaps(docs, min_chars, min_docs)))
+    return apply_bitmaps(docs, settle(keep_bitmaps(docs, min_chars, min_docs)), names)

@@ -15,6 +15,7 @@ from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from millrace.llm import bpe, language, mixing, pii, quality, secrets, toxicity
+from millrace.llm._stage import settle
 from millrace.llm._text import chunks
 from millrace.llm.near_duplicates import shingle_sets
 from millrace.llm.queries import QUERIES, fold
@@ -81,6 +82,28 @@ def test_mix_prefers_quality_and_spans_bins(spark, monkeypatch):
     assert (extra["doc_id"] % 2).mean() > 0.7
 
 
+def test_mix_sorts_few_rows_however_keys_bunch(spark, monkeypatch):
+    """A third of all rows without an id, a third of one text, weights that bunch the keys: at most 4 bins' rows are sorted."""
+    monkeypatch.setattr(mixing, "BIN_ROWS", 8)
+    monkeypatch.setattr(mixing, "MAX_BINS", 4)
+    sorted_rows = []
+
+    def spy(df):
+        out = settle(df)
+        if "below" in out.columns:
+            sorted_rows.append(max((r["count"] for r in out.groupBy("source").count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(mixing, "settle", spy)
+    rows = [(None if i % 3 == 0 else i, "same words here" if i % 3 < 2 else f"own words {'#' * (i % 9)} {i}", "hot" if i % 4 else "small") for i in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert sorted_rows[0] > 100 and sorted_rows[-1] <= 32 and sorted_rows == sorted(sorted_rows, reverse=True)
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert len(got) == 3000 and ((by["taken"] - by["target"]).abs() <= 2).all()
+    times = got["taken"] / got["size"]
+    assert set(times) <= {0.0, 1.0, 2.0} and (got.assign(times=times).groupby("source")["times"].nunique() <= 2).all()
+
+
 def test_mix_edge_cases(spark):
     got = mixing.mix_sources(odd_docs(spark)).collect()
     assert len(got) == len(ODD) + 2 and all(r.taken is not None and r.taken <= 2 * r.size for r in got)
