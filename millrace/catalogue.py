@@ -84,6 +84,9 @@ _add("rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders
 _add("approx_distinct_bounds", "SELECT o_orderstatus, approx_distinct(o_custkey) BETWEEN count(DISTINCT o_custkey) * 0.8 AND count(DISTINCT o_custkey) * 1.2 AS close FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, true AS close FROM orders GROUP BY o_orderstatus")
 _add("approx_percentile_bounds", "SELECT l_returnflag, approx_percentile(l_quantity, 0.5) BETWEEN 20 AND 31 AS close FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, true AS close FROM lineitem GROUP BY l_returnflag")
 _add("hll_sketch_bounds", "SELECT hll_sketch_estimate(approx_set(o_custkey)) BETWEEN 0.8 * count(DISTINCT o_custkey) AND 1.2 * count(DISTINCT o_custkey) AS close FROM orders", "SELECT true AS close")
+_add("checksum_duplicates", "SELECT (SELECT checksum(x) FROM (VALUES (1), (1)) t(x)) = (SELECT checksum(x) FROM (VALUES (2), (2)) t(x)) AS same_pairs, (SELECT checksum(x) FROM (VALUES (1), (2), (2)) t(x)) = (SELECT checksum(x) FROM (VALUES (2), (1), (2)) t(x)) AS same_bags, (SELECT checksum(x) FROM (VALUES (1)) t(x)) = (SELECT checksum(x) FROM (VALUES (1), (2), (2)) t(x)) AS same_without_pairs", "SELECT false AS same_pairs, true AS same_bags, false AS same_without_pairs")
+_add("hll_merge_bounds", "SELECT cardinality(merge(s)) BETWEEN 0.8 * max(n) AND 1.2 * max(n) AS close FROM (SELECT approx_set(o_custkey) AS s, (SELECT count(DISTINCT o_custkey) FROM orders) AS n FROM orders GROUP BY o_orderstatus) x", "SELECT true AS close")
+_add("array_agg_nulls", "SELECT n_regionkey, cardinality(array_agg(nullif(n_nationkey % 3, 0))) AS n, cardinality(array_agg(n_name) FILTER (WHERE n_nationkey > 3)) AS later, array_join(array_sort(array_agg(DISTINCT n_regionkey)), ',') AS regions FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(len(array_agg(nullif(n_nationkey % 3, 0))) AS INTEGER) AS n, CAST(coalesce(len(array_agg(n_name) FILTER (n_nationkey > 3)), 0) AS INTEGER) AS later, array_to_string(list_sort(array_agg(DISTINCT n_regionkey)), ',') AS regions FROM nation GROUP BY n_regionkey")
 _add("checksum_agrees", "SELECT (SELECT checksum(o_orderkey) FROM orders) = (SELECT checksum(k) FROM (SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice) x) AS agrees", "SELECT true AS agrees")
 
 # ------------------------------------------------------------ windows
@@ -107,6 +110,7 @@ _add("qualify_grouped", "SELECT o_custkey, o_orderstatus, count(*) AS n FROM ord
 _add("order_limit_offset", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber OFFSET 5 ROWS FETCH FIRST 20 ROWS ONLY", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20 OFFSET 5")
 _add("order_ordinal_nulls", "SELECT nullif(o_orderstatus, 'F') AS s, o_orderkey FROM orders ORDER BY 1 NULLS FIRST, 2 DESC LIMIT 50")
 _add("topk", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+_add("sample_share", "SELECT count(*) BETWEEN 0.05 * (SELECT count(*) FROM lineitem) AND 0.15 * (SELECT count(*) FROM lineitem) AS close, count(DISTINCT l_orderkey) > 1 AS spread FROM lineitem TABLESAMPLE BERNOULLI (10)", "SELECT true AS close, true AS spread")
 _add("sample_full", "SELECT count(*) AS n FROM orders TABLESAMPLE BERNOULLI (100)", "SELECT count(*) AS n FROM orders")
 _add("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _add("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
@@ -132,6 +136,9 @@ _add("date_diff_parts", "SELECT o_orderkey, date_diff('day', TIMESTAMP '1995-03-
 _add("extract_parts", "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS BIGINT) AS m, CAST(EXTRACT(DAY FROM o_orderdate) AS BIGINT) AS d, CAST(EXTRACT(QUARTER FROM o_orderdate) AS BIGINT) AS q FROM orders")
 _add("math_functions", "SELECT o_orderkey, abs(-o_totalprice) AS a, CAST(ceil(o_totalprice) AS BIGINT) AS c, CAST(floor(o_totalprice) AS BIGINT) AS f, CAST(sign(o_totalprice) AS DOUBLE) AS s, CAST(truncate(o_totalprice) AS DOUBLE) AS t, o_orderkey % 7 AS m, o_orderkey / 4 AS q FROM orders", "SELECT o_orderkey, abs(-o_totalprice) AS a, CAST(ceil(o_totalprice) AS BIGINT) AS c, CAST(floor(o_totalprice) AS BIGINT) AS f, CAST(sign(o_totalprice) AS DOUBLE) AS s, CAST(trunc(o_totalprice) AS DOUBLE) AS t, o_orderkey % 7 AS m, o_orderkey / 4 AS q FROM orders")
 _add("round_half", "SELECT l_orderkey, l_linenumber, round(l_quantity / 4, 1) AS r FROM lineitem")
+_add("greatest_least_nulls", "SELECT o_orderkey, greatest(o_custkey, nullif(o_orderkey % 4, 0)) AS g, least(o_custkey, nullif(o_orderkey % 4, 0), 7) AS l FROM orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 OR o_custkey IS NULL THEN NULL ELSE greatest(o_custkey, o_orderkey % 4) END AS g, CASE WHEN o_orderkey % 4 = 0 OR o_custkey IS NULL THEN NULL ELSE least(o_custkey, o_orderkey % 4, 7) END AS l FROM orders")
+_add("multi_alias", "SELECT n_nationkey, ROW(n_regionkey, n_nationkey % 2) AS (region, odd) FROM nation", "SELECT n_nationkey, n_regionkey AS region, n_nationkey % 2 AS odd FROM nation")
+_add("multi_alias_generator", "SELECT n_nationkey, stack(2, n_regionkey, 1, n_nationkey, 2) AS (value, place) FROM nation", "SELECT n_nationkey, n_regionkey AS value, 1 AS place FROM nation UNION ALL SELECT n_nationkey, n_nationkey, 2 FROM nation")
 _add("conditional_functions", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS c, if(o_totalprice > 1000, 'big', 'small') AS i, greatest(o_custkey, o_orderkey) AS g, least(o_custkey, o_orderkey) AS l FROM orders", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS c, CASE WHEN o_totalprice > 1000 THEN 'big' ELSE 'small' END AS i, greatest(o_custkey, o_orderkey) AS g, least(o_custkey, o_orderkey) AS l FROM orders")
 _add("json_scalar", "SELECT event_id, json_extract_scalar(props, '$.k') AS k, json_extract_scalar(props, '$.missing') AS none FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS none FROM events")
 _add("surrogate_key", "SELECT o_orderkey, md5(concat_ws('-', coalesce(CAST(o_orderkey AS VARCHAR), '_null_'), coalesce(nullif(o_orderstatus, 'F'), '_null_'))) AS sk FROM orders")

@@ -44,20 +44,30 @@ def _format(args: list[str]) -> str:
     return f"format_string({', '.join(args)})"
 
 
+def _unless_null(name: str) -> Callable[[list[str]], str]:
+    """Spark passes nulls over; the model dialect returns null if any argument is."""
+    return lambda args: f"CASE WHEN {' OR '.join(f'({a}) IS NULL' for a in args)} THEN NULL ELSE {name}({', '.join(args)}) END"
+
+
 REWRITES: dict[str, Callable[[list[str]], str]] = {
     "approx_distinct": lambda a: f"approx_count_distinct({a[0]})",
     "approx_percentile": lambda a: f"CAST(percentile_approx({', '.join(a)}) AS DOUBLE)",
     "approx_set": _renamed("hll_sketch_agg"),
     "arbitrary": _renamed("any_value"),
-    "checksum": lambda a: f"bit_xor(xxhash64({a[0]}))",
+    "cardinality": lambda a: f"hll_sketch_estimate({a[0]})" if a[0].startswith("hll_") else f"cardinality({', '.join(a)})",
+    # A sum and not an exclusive or, which equal values would cancel in pairs.
+    "checksum": lambda a: f"sum(CAST(xxhash64({a[0]}) AS DECIMAL(38, 0)))",
     "date_diff": _date_diff,
     "date_trunc": lambda a: f"CAST(date_trunc({', '.join(a)}) AS TIMESTAMP_NTZ)",
     "format": _format,
     "format_datetime": _renamed("date_format"),
+    "greatest": _unless_null("greatest"),
     "is_nan": _renamed("isnan"),
     "json_extract": _json_path,
     "json_extract_scalar": _json_path,
+    "least": _unless_null("least"),
     "map": _map,
+    "merge": _renamed("hll_union_agg"),
     "row": _row,
     "strpos": lambda a: f"CAST(instr({', '.join(a)}) AS BIGINT)",
     "truncate": lambda a: f"(sign({a[0]}) * floor(abs({a[0]})))" if len(a) == 1 else _truncated(a),

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
+from millrace.sources.store import partition_label
+
 
 @dataclass(frozen=True)
 class Tolerance:
@@ -89,17 +91,30 @@ def key_sample(table: DataFrame, keys: Iterable[str], percent: float) -> DataFra
     return table.where(F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(10000)) < int(percent * 100))
 
 
+def rows_digest(columns: list[str]) -> Column:
+    """An aggregate that tells multisets of rows apart in any order.
+
+    Sums of two 64-bit hashes, as decimals: equal rows add up, where an
+    exclusive or would cancel them in pairs.  Which values are null is hashed
+    too, as the hash itself passes nulls over.
+    """
+    values = [F.col(f"`{c}`") for c in columns]
+    nulls = F.concat(*[F.when(v.isNull(), F.lit("1")).otherwise(F.lit("0")) for v in values])
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), nulls, *values).cast("decimal(38,0)"))
+    return F.concat_ws(":", total(1).cast("string"), total(2).cast("string"))
+
+
 def partition_diff(base: DataFrame, candidate: DataFrame, columns: Iterable[str], content: bool = False) -> DataFrame:
     """(partition, status, base_rows, candidate_rows) for partitions that were added, removed or changed.
 
     A partition has changed if its row count differs, or, with ``content``, the
-    order-free digest of its rows.
+    order-free digest of its rows.  Partitions are named as ``partition_label``
+    says: null is told from every value, and values from their neighbours'.
     """
-    columns = list(columns)
-    value = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")) for c in columns])
+    value = partition_label(list(columns))
 
     def summary(table: DataFrame, side: str) -> DataFrame:
-        digest = F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(base.columns)])) if content else F.lit(0)
+        digest = rows_digest(sorted(base.columns)) if content else F.lit(0)
         return table.groupBy(value.alias(f"p_{side}")).agg(F.count(F.lit(1)).alias(f"n_{side}"), digest.alias(f"d_{side}"))
 
     both = summary(base, "b").join(summary(candidate, "c"), F.col("p_b") == F.col("p_c"), "full")

@@ -35,6 +35,13 @@ def duplicate_keys(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
     return some.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
 
 
+def check_keys(rows: DataFrame, keys: Iterable[str]) -> None:
+    """Raises ``DuplicateKeys`` if a key without nulls occurs twice."""
+    keys = list(keys)
+    if twice := duplicate_keys(rows, keys).limit(1).collect():
+        raise DuplicateKeys(f"key {dict(zip(keys, twice[0]))} occurs {twice[0]['cnt']} times in the rows to merge")
+
+
 def merged(target: DataFrame, rows: DataFrame, keys: Iterable[str], check: bool = True) -> DataFrame:
     """``rows`` in place of the target's rows with equal keys, and appended elsewhere.
 
@@ -46,8 +53,8 @@ def merged(target: DataFrame, rows: DataFrame, keys: Iterable[str], check: bool
     keys = list(keys)
     if not keys:
         return appended(target, rows)
-    if check and (twice := duplicate_keys(rows, keys).limit(1).collect()):
-        raise DuplicateKeys(f"key {dict(zip(keys, twice[0]))} occurs {twice[0]['cnt']} times in the rows to merge")
+    if check:
+        check_keys(rows, keys)
     kept = target.join(rows.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
     return kept.unionByName(rows.select(*target.columns))
 

@@ -9,7 +9,7 @@ import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
@@ -239,7 +239,7 @@ class Runner:
             try:
                 if timer:
                     timer.start()
-                version = self._build(m, action, started)
+                version = self._build(m, action)
                 self._record(m.target.key, version)
                 self._save(m, action, version, run)
                 return Outcome(PASSED, version, attempts=attempt)
@@ -255,7 +255,7 @@ class Runner:
                 self.binder.session.removeTag(tag)
         raise AssertionError("unreachable")
 
-    def _build(self, m: CompiledModel, action: Action, started: float) -> Version:
+    def _build(self, m: CompiledModel, action: Action) -> Version:
         name = m.target.key
         rows = self.binder.query(m.sql, self.live)
         for d in contracts.validate(m, rows.schema):
@@ -265,6 +265,7 @@ class Runner:
             return self.store.view(m.sql)
         inc = m.model.incremental if m.materialization == "incremental" else None
         partitions = inc.columns if inc and inc.strategy == "partition" else ()
+        before = None
         old = self.live.get(name)
         full = inc is None or old is None or old.kind != "table" or action.full_rebuild
         if not full:
@@ -278,29 +279,31 @@ class Runner:
         elif inc.strategy == "append":
             version = self.store.appended(name, old, rows)
         elif inc.strategy == "key":
-            version = self.store.write(name, materialize.merged(self.store.read(old), self._here(rows), inc.columns), partitions)
+            version = self.store.merged(name, old, rows, inc.columns)
         elif inc.strategy == "partition":
             version = self.store.with_partitions(name, old, rows)
         else:
-            high = _revive(self.state.watermark(m.id.name, self.environment))
+            high = _revive(old.watermark or self.state.watermark(m.id.name, self.environment))
             fresh = materialize.window_rows(rows, inc.columns[0], high, materialize.overlap_seconds(inc.overlap))
             if high is None:
                 version = self.store.write(name, rows)
             elif m.model.key:  # with a key, overlapping rows replace themselves
-                version = self.store.write(name, materialize.merged(self.store.read(old), self._here(fresh), m.model.key))
+                version = self.store.merged(name, old, fresh, m.model.key)
             else:
                 version = self.store.appended(name, old, fresh)
+            before = high
         if inc and inc.strategy == "window":
-            self.state.set_watermark(m.id.name, self.environment, _plain(materialize.watermark(self.store.read(version), inc.columns[0])), started)
+            # The mark is part of the version: it counts when the rows do.  Only new folders are read for it.
+            known = {f for f in old.folders} if before is not None else set()
+            new = self.store.read(replace(version, folders=tuple(f for f in version.folders if f not in known)))
+            marks = [x for x in (before, materialize.watermark(new, inc.columns[0])) if x is not None]
+            version = replace(version, watermark=_plain(max(marks)) if marks else None)
         return version
 
-    def _here(self, df: DataFrame) -> DataFrame:
-        """A plan of the binder's session in the store's, so that both sides of a join share one."""
-        jvm = self.spark._jvm
-        return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().analyzed()), self.spark)
-
     def _save(self, m: CompiledModel, action: Action, version: Version, run: str) -> None:
         inc = m.model.incremental if m.materialization == "incremental" else None
+        if version.watermark is not None:
+            self.state.set_watermark(m.id.name, self.environment, version.watermark, time.time())
         self.state.record(Record(m.id.name, self.environment, action.version, m.components, m.target.key, inc.strategy if inc else m.materialization, inc.columns if inc else (), version.id, contracts.recorded(m), run=run))
 
     # -- tests

@@ -104,7 +104,25 @@ def inc_merge_key(spark: SparkSession, folder: str) -> DataFrame:
     second = _orders(spark, folder).where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("updated").alias("status"))
     store = _store(spark)
     store.record("main", {"t.orders": store.write("t.orders", first)})
-    store.record("main", {"t.orders": store.write("t.orders", materialize.merged(store.table("t.orders"), second, ["o_orderkey"]))})
+    store.record("main", {"t.orders": store.merged("t.orders", store.version("t.orders"), second, ["o_orderkey"])})
+    return store.table("t.orders")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 400 = 0 THEN 'updated' ELSE o_orderstatus END AS status FROM orders
+""")
+def inc_merge_key_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """A merge into a table of four folders, of which it meets one: the others stay as they are."""
+    rows = _orders(spark, folder).select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    store = _store(spark)
+    store.record("main", {"t.orders": store.write("t.orders", rows.where("o_orderkey % 4 = 0"))})
+    for k in (1, 2, 3):
+        store.record("main", {"t.orders": store.appended("t.orders", store.version("t.orders"), rows.where(f"o_orderkey % 4 = {k}"))})
+    old = store.version("t.orders")
+    new = store.merged("t.orders", old, rows.where("o_orderkey % 400 = 0").withColumn("status", F.lit("updated")), ["o_orderkey"])
+    if len(set(old.folders) & set(new.folders)) != 3:
+        raise RuntimeError("folders without a merged key were written again")
+    store.record("main", {"t.orders": new})
     return store.table("t.orders")
 
 
@@ -121,6 +139,23 @@ def inc_replace_partition(spark: SparkSession, folder: str) -> DataFrame:
     return store.table("t.orders")
 
 
+_PARTS = "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'NULL' WHEN 2 THEN 'a|b' WHEN 3 THEN 'a' ELSE '' END AS p, CASE o_orderkey % 5 WHEN 2 THEN 'c' WHEN 3 THEN 'b|c' ELSE 'x' END AS q"
+
+
+@query(f"""
+SELECT o_orderkey, p, q, 'old' AS batch FROM (SELECT o_orderkey, {_PARTS} FROM orders) WHERE p IS NOT NULL AND p <> 'a|b'
+UNION ALL SELECT o_orderkey, p, q, 'new' FROM (SELECT o_orderkey, {_PARTS} FROM orders) WHERE (p IS NULL OR p = 'a|b') AND o_orderkey % 2 = 0
+""")
+def inc_replace_null_partition(spark: SparkSession, folder: str) -> DataFrame:
+    """Replacing the null partition leaves 'NULL' and '' alone, and ('a|b', 'c') leaves ('a', 'b|c') alone."""
+    rows = _orders(spark, folder).selectExpr("o_orderkey", *_PARTS.replace(" AS p, ", " AS p@").split("@"))
+    store = _store(spark)
+    store.record("main", {"t.orders": store.write("t.orders", rows.withColumn("batch", F.lit("old")), ["p", "q"])})
+    fresh = rows.where("(p IS NULL OR p = 'a|b') AND o_orderkey % 2 = 0").withColumn("batch", F.lit("new"))
+    store.record("main", {"t.orders": store.with_partitions("t.orders", store.version("t.orders"), fresh)})
+    return store.table("t.orders")
+
+
 def _window_batches(spark: SparkSession, folder: str, overlap: int | None) -> DataFrame:
     events = read_table(spark, folder, "events").select("event_id", "ts", "user_id")
     cut = events.agg(F.timestamp_seconds(F.floor(F.avg(F.unix_timestamp(F.col("ts").cast("timestamp"))) / 3600) * 3600).cast("timestamp_ntz").alias("cut")).first()["cut"]
@@ -155,6 +190,13 @@ def partition_counts(spark: SparkSession, folder: str) -> DataFrame:
     return store.partition_counts("t.orders", columns=["o_orderpriority"])
 
 
+@query("SELECT coalesce(CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END, chr(92) || 'N') AS partition, count(*) AS row_count FROM orders GROUP BY 1")
+def partition_counts_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    store = _store(spark)
+    store.record("main", {"t.orders": store.write("t.orders", _orders(spark, folder).selectExpr("o_orderkey", "nullif(o_orderstatus, 'F') AS s"), ["s"])})
+    return store.partition_counts("t.orders", columns=["s"])
+
+
 # ---------------------------------------------------------------- quality tests
 
 
@@ -268,6 +310,17 @@ def diff_partition(spark: SparkSession, folder: str) -> DataFrame:
     return diff.partition_diff(*_sides(spark, folder), ["o_orderpriority"])
 
 
+@query("""
+SELECT o_orderstatus AS partition, 'changed' AS status, 2 * count(*) AS base_rows, 2 * count(*) AS candidate_rows FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1
+""")
+def diff_partition_content(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row stands twice on both sides; those of two partitions have changed, with the same counts."""
+    rows = _orders(spark, folder).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    twice = rows.unionByName(rows)
+    price = F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return diff.partition_diff(twice, twice.withColumn("o_totalprice", price), ["o_orderstatus"], content=True)
+
+
 @query(_SIDES + "SELECT (SELECT count(*) FROM b) AS base_rows, (SELECT count(*) FROM c) AS candidate_rows")
 def diff_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     return diff.aggregate_diff(*_sides(spark, folder))
@@ -280,11 +333,22 @@ def diff_policy(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(verdict.passed,)], "passed boolean")
 
 
-@query("SELECT 0 AS added, 0 AS removed, 0 AS modified")
+@query(_SIDES + """
+SELECT count(*) FILTER (bk IS NULL) > 0 AS some_added, count(*) FILTER (ck IS NULL) > 0 AS some_removed, true AS same_keys, true AS close FROM j
+""")
 def diff_sampled(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _orders(spark, folder)
-    a, b = (diff.key_sample(x, ["o_orderkey"], 10) for x in (orders, orders.repartition("o_custkey")))
-    return diff.keyed_diff(a, b, ["o_orderkey"]).select(*[F.col(c).cast("int").alias(c) for c in ("added", "removed", "modified")])
+    """A tenth of the keys of two different sides: the same keys of both, and shares near those of all keys."""
+    base, candidate = _sides(spark, folder)
+    a, b = (diff.key_sample(x, ["o_orderkey"], 10) for x in (base, candidate.repartition("o_totalprice")))
+    part = diff.keyed_diff(a, b, ["o_orderkey"]).select(*[F.col(c).alias(f"part_{c}") for c in ("base_rows", "added", "removed", "modified")])
+    whole = diff.keyed_diff(base, candidate, ["o_orderkey"]).select("base_rows", "added", "removed", "modified")
+    # A key that is in both tables is in both samples: what the samples miss of one another the tables miss too.
+    lost = a.join(candidate, "o_orderkey", "left_semi").join(b, "o_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+    near = F.lit(True)
+    for c in ("base_rows", "added", "removed", "modified"):
+        near = near & F.col(f"part_{c}").between(0.05 * F.col(c) - 10, 0.15 * F.col(c) + 10)
+    one = part.crossJoin(whole).crossJoin(lost)  # three tables of one row
+    return one.select((F.col("part_added") > 0).alias("some_added"), (F.col("part_removed") > 0).alias("some_removed"), (F.col("lost") == 0).alias("same_keys"), near.alias("close"))
 
 
 # ---------------------------------------------------------------- a whole workspace

@@ -327,3 +327,65 @@ def test_a_replayed_batch_is_known_after_many_commits(spark, store, tmp_path):
         store.record("main", {}, "another writer")
     shutil.rmtree(f"{tmp_path}/cp/commits")  # as after a crash before the stream noted the batch
     assert take_up(*args) == 0 and store.table("s.t").count() == 3
+
+
+def test_of_several_writers_none_is_lost(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: Store(spark, store.files.root).record("main", {f"t.{k}": store.view(f"SELECT {k} AS x")}), range(12)))
+    assert set(Store(spark, store.files.root).head().tables) == {f"t.{k}" for k in range(12)}
+    at = store.head().id
+    with ThreadPoolExecutor(4) as pool:
+
+        def claim(k):
+            try:
+                return Store(spark, store.files.root).record("main", {"t.won": store.view(f"SELECT {k} AS x")}, expected=at).id
+            except Conflict:
+                return None
+
+        won = [x for x in pool.map(claim, range(6)) if x]
+    assert len(won) == 1 and store.head().id == won[0]
+
+
+def test_commits_keep_changes_only(spark, store, monkeypatch):
+    for k in range(40):
+        store.record("main", {f"t.{k % 7}": store.view(f"SELECT {k} AS x"), "t.gone": store.view("SELECT 0 AS x") if k % 2 else None})
+    fresh = Store(spark, store.files.root)
+    assert {n: v.sql for n, v in fresh.head().tables.items()} == {n: v.sql for n, v in store.head().tables.items()}
+    assert len(fresh.ancestors(fresh.head().id)) == 41 and "t.gone" in fresh.head().tables
+    sizes = [len(fresh.files.read("commits", c + ".json").get("changes", {})) for c in fresh.ancestors(fresh.head().id)]
+    assert max(sizes) == 2 and sizes.count(0) == 2
+
+
+def test_merge_rewrites_only_folders_that_hold_a_key(spark, store):
+    first = spark.range(0, 100).selectExpr("id AS k", "'a' AS v")
+    store.record("main", {"t": store.write("t", first)})
+    store.record("main", {"t": store.appended("t", store.version("t"), spark.range(100, 200).selectExpr("id AS k", "'b' AS v"))})
+    old = store.version("t")
+    new = store.merged("t", old, spark.sql("SELECT * FROM VALUES (150L, 'c'), (300L, 'c'), (CAST(NULL AS BIGINT), 'c') AS t(k, v)"), ["k"])
+    assert old.folders[0] in new.folders and old.folders[1] not in new.folders and len(new.folders) == 3
+    assert got(store.read(new).groupBy("v").count(), "v", "count") == [("a", 100), ("b", 99), ("c", 3)]
+    untouched = store.merged("t", old, spark.sql("SELECT 999L AS k, 'd' AS v"), ["k"])
+    assert untouched.folders[:2] == old.folders
+    with pytest.raises(materialize.DuplicateKeys):
+        store.merged("t", old, spark.sql("SELECT * FROM VALUES (1L, 'x'), (1L, 'y') AS t(k, v)"), ["k"])
+
+
+def test_a_window_table_carries_its_own_mark(spark, workspace, tmp_path):
+    """The mark counts when the rows do: a build whose commit fails is taken up again from the old mark."""
+    root = workspace({"millrace.toml": '[transform]\ndefault_schema = "a"\n', T + "e.sql": "-- @incremental window=ts\nSELECT id, ts FROM events"})
+    rows = {"n": 3}
+    sources = lambda relation: spark.range(rows["n"]).selectExpr("id", "timestamp_seconds(id * 3600) AS ts")
+    project = Project(spark, root, "file://" + str(tmp_path / "wh"), sources)
+    assert project.run().status == "passed"
+    key = next(iter(project.store.head().tables))
+    mark = project.store.version(key).watermark
+    rows["n"] = 6
+    record, project.store.record = project.store.record, lambda *a, **k: (_ for _ in ()).throw(OSError("lost"))
+    assert project.run(force=True).status == "failed"
+    project.store.record = record
+    assert project.store.version(key).watermark == mark
+    project.state.set_watermark("w.e", "main", {"timestamp": "2031-01-01T00:00:00"}, 0.0)
+    assert project.run(force=True).status == "passed"
+    assert project.store.table(key).count() == 6 and project.store.version(key).watermark != mark
