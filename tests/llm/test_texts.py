@@ -202,16 +202,45 @@ def tokenizer():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(PIECES), max_size=12))
-def test_word_table_is_exact(tokenizer, parts):
-    text = "".join(parts)
-    table = bpe.WordTable.of(PATH)
-    table.limit = 200
-    raw = text.encode()
-    packed = table.encode(raw, table.add(set(raw.split())))
-    want = tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packed, dtype="<u4").tolist() == want
-    assert table.decode(packed).decode() == tokenizer.decode(want, skip_special_tokens=False)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), min_size=1, max_size=4))
+def test_word_parts_are_exact(tokenizer, texts):
+    """Positions and the ids of distinct parts give each text's ids and decoded text."""
+    block, names = bpe.Block(), bpe.pieces(PATH)
+    for k, text in enumerate(texts):
+        block.add(k, text.encode())
+    parts, positions = block.parts()
+    assert len(set(parts)) == len(parts)
+    packed = bpe.encode_words(PATH, parts)
+    for text, pos in zip(texts, positions):
+        assert bpe.from_planes(bpe.planes(pos)).tolist() == pos.tolist()
+        ids = np.frombuffer(b"".join(packed[i] for i in pos), dtype="<u4").tolist()
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids == want
+        assert " ".join(names[i] for i in ids) == tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_long_texts_are_split_at_blanks(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 7)
+    block = bpe.Block()
+    text = "one two  threefourfive\n\tsix é seven-eight " * 5
+    block.add(1, text.encode())
+    assert [list(block.words)[i] for i in block.texts[0]] == text.encode().split()
+
+
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    """Blocks of a few texts: words are dealt by word over all blocks, and blocks are joined back whole."""
+    rows = [(i, f"shared words and own{i % 40} {'more ' * (i % 5)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    coded = bpe._encoded(bpe._split(df).where("word IS NOT NULL"), PATH)
+    by_word = bpe._split(df).where("word IS NOT NULL").join(coded, ["block", "idx"]).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ids").alias("k")).collect()
+    assert all(r.k == 1 for r in by_word) and max(r.n for r in by_word) == 6 and len(by_word) == 44
+    plan = bpe.encode(df, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Bucketed: true" in plan
+
+
+def test_other_kinds_of_tokenizers_are_refused(spark):
+    with pytest.raises(ValueError, match="word by word"):
+        bpe.encode(odd_docs(spark), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_bpe_query(spark, tokenizer):
@@ -229,6 +258,8 @@ def test_bpe_edge_cases_and_round_trip(spark):
     assert all(r.ids == [] and r.decoded == "" for r in rows if r.n_tokens == 0)
     back = sorted(r.decoded for r in bpe.decode(out, PATH).collect())
     assert back == sorted(r.decoded for r in rows)
+    some = spark.createDataFrame([(1, [320, 10**6]), (1, []), (None, None)], "doc_id long, ids array<int>")
+    assert sorted(r.decoded for r in bpe.decode(some, PATH).collect()) == ["", "", bpe.pieces(PATH)[320]]
     assert bpe.encode(odd_docs(spark).limit(0), PATH).count() == 0
 
 
