@@ -84,8 +84,10 @@ class App:
     # -- commands
 
     def check(self) -> tuple[Any, bool]:
-        notes = self.compiled.diagnostics
-        return {"models": len(self.compiled.models), "diagnostics": [asdict(d) | {"meaning": CODES[d.code]} for d in notes]}, self.compiled.ok
+        """Types are checked too: every query against its inputs' columns, as far as sources are known."""
+        notes = self.compiled.diagnostics if not self.compiled.ok else self.project.check()
+        ok = not any(d.severity == "error" for d in notes)
+        return {"models": len(self.compiled.models), "diagnostics": [asdict(d) | {"meaning": CODES[d.code]} for d in notes]}, ok
 
     def list(self) -> Any:
         return [{"id": i.name, "materialization": m.materialization, "target": m.target.name, "tags": m.model.tags, "owner": m.model.owner} for i in self.selected() for m in [self.compiled.models[i]]]
@@ -101,18 +103,17 @@ class App:
         a = self.args
         if a.environment != "main":
             self.project.ensure(a.environment, a.source)
-        from millrace.plans.planner import Planner
-
         banned = select(self.compiled, a.exclude) if a.exclude else ()
         errors = [d for d in self.compiled.diagnostics if d.severity == "error"]
         if errors:
             raise SelectionError("; ".join(map(str, errors[:5])))
-        p = self.project
-        return Planner(p.compiled, p.store, p.state, a.environment).plan(self.selected(), a.force, excluded=banned)
+        chosen = self.selected()
+        plain = select(self.compiled, [t.strip("+") for t in a.terms], a.exclude, a.tag, a.workflow, False, False, self.changes) if a.terms or a.upstream or a.downstream else chosen
+        return self.project.plan_of(chosen, banned, a.environment, a.force, expanded=set(chosen) - set(plain), changed=changed_since(self.compiled, a.since) if getattr(a, "since", None) else ())
 
     def plan(self) -> Any:
         plan = self._plan()
-        return {"environment": plan.environment, "summary": plan.summary(), "seeds": plan.seeds, "tests": plan.tests, "warnings": plan.warnings, "actions": [{"model": m.name, "action": x.kind, "reasons": x.reasons} for m, x in plan.actions.items()]}
+        return {"environment": plan.environment, "summary": plan.summary(), "seeds": plan.seeds, "tests": plan.tests, "warnings": plan.warnings, "actions": [{"model": m.name, "action": x.kind, "reasons": x.reasons, "membership": x.membership} for m, x in plan.actions.items()]}
 
     def explain(self) -> Any:
         wanted = select(self.compiled, [self.args.model])[0]

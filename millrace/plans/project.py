@@ -7,11 +7,14 @@ import os
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from millrace.operators import diff, quality
 from millrace.sources.store import MAIN, Store
 
+from .analysis import Analyzer, type_diagnostics
 from .compiler import Compiled, SourceStates, compile_workspace
+from .diagnostics import Diagnostic
 from .identity import ModelId, Relation
 from .planner import Plan, Planner
 from .runner import FAILED, BLOCKED, CANCELLED, Runner, RunError, RunResult
@@ -26,12 +29,31 @@ def catalog_sources(spark: SparkSession) -> Callable[[Relation], DataFrame | Non
     def find(relation: Relation) -> DataFrame | None:
         return spark.table(relation.quoted()) if spark.catalog.tableExists(relation.name) else None
 
+    def state(relation: Relation) -> str | None:
+        table = find(relation)
+        return _files_state(spark, table.inputFiles()) if table is not None else None
+
+    find.states = state
     return find
 
 
 def folder_sources(spark: SparkSession, folder: str) -> Callable[[Relation], DataFrame | None]:
     """Sources that are parquet files named like the relation's table, in one folder."""
-    return lambda relation: spark.read.parquet(f"{folder}/{relation.table}.parquet")
+
+    def find(relation: Relation) -> DataFrame | None:
+        return spark.read.parquet(f"{folder}/{relation.table}.parquet")
+
+    find.states = folder_states(spark, folder)
+    return find
+
+
+def _files_state(spark: SparkSession, files: Iterable[str]) -> str | None:
+    """A digest of the names, sizes and times of files; None for a table without any (a view of no files)."""
+    path, conf, lines = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf(), []
+    for f in files:
+        status = path(f).getFileSystem(conf).getFileStatus(path(f))
+        lines.append(f"{status.getPath().getName()}|{status.getLen()}|{status.getModificationTime()}")
+    return "files:" + hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest() if lines else None
 
 
 def folder_states(spark: SparkSession, folder: str) -> Callable[[Relation], str | None]:
@@ -52,15 +74,21 @@ def folder_states(spark: SparkSession, folder: str) -> Callable[[Relation], str
 
 
 class Project:
-    """A workspace with its store, state and sources."""
+    """A workspace with its store, state and sources.
+
+    Without ``source_states`` the sources' own are taken (``folder_sources`` and
+    ``catalog_sources`` have them: their files' names, sizes and times), so that
+    models are built again when their sources' files change.
+    """
 
     def __init__(self, spark: SparkSession, root: str | os.PathLike, warehouse: str, sources: Callable[[Relation], DataFrame | None] | None = None, state: State | None = None, source_states: SourceStates = None) -> None:
         self.spark, self.root = spark, str(root)
         self.store = Store(spark, warehouse)
         self.state = state or State()
         self.sources = sources or catalog_sources(spark)
-        self.source_states = source_states
+        self.source_states = source_states or getattr(self.sources, "states", None)
         self._compiled: Compiled | None = None
+        self._analyzer: Analyzer | None = None
 
     @property
     def compiled(self) -> Compiled:
@@ -69,9 +97,32 @@ class Project:
         return self._compiled
 
     def reload(self) -> Compiled:
-        self._compiled = None
+        self._compiled = self._analyzer = None
         return self.compiled
 
+    def analyse(self, models: Iterable[ModelId] | None = None) -> Analyzer:
+        """Types of the models (None: all) and what they need; known ones are kept until the next reload."""
+        if self._analyzer is None:
+            known: dict[str, StructType | None] = {}
+
+            def schema(relation: Relation) -> StructType | None:
+                if relation.key not in known:
+                    try:
+                        df = self.sources(relation)
+                    except Exception:  # an unknown source has no schema; a run says why
+                        df = None
+                    known[relation.key] = df.schema if df is not None else None
+                return known[relation.key]
+
+            self._analyzer = Analyzer(self.spark, self.compiled, schema, lineage=False)
+        self._analyzer.run(models)
+        return self._analyzer
+
+    def check(self) -> list[Diagnostic]:
+        """All diagnostics: the compilation's, and if it has no errors those of types and contracts."""
+        found = list(self.compiled.diagnostics)
+        return found if any(d.severity == "error" for d in found) else found + type_diagnostics(self.analyse())
+
     def ensure(self, environment: str, source: str = MAIN) -> bool:
         """Creates the environment's branch if there is none; True if it did."""
         if self.store.has_branch(environment):
@@ -83,10 +134,22 @@ class Project:
         return select(self.compiled, include, **options)
 
     def plan(self, include: Iterable[str] = (), exclude: Iterable[str] = (), environment: str = MAIN, force: bool = False, changed: Callable[[], set[ModelId]] | None = None) -> Plan:
+        """A plan of the selected models; errors of theirs, types included, end it before anything is built."""
         self._check()
+        include = list(include)
         chosen = select(self.compiled, include, exclude, changed=changed)
         banned = select(self.compiled, exclude, changed=changed) if exclude else ()
-        return Planner(self.compiled, self.store, self.state, environment).plan(chosen, force, excluded=banned)
+        named = select(self.compiled, [t.strip("+") for t in include], changed=changed) if include else chosen
+        return self.plan_of(chosen, banned, environment, force, expanded=set(chosen) - set(named), changed=changed() if changed else ())
+
+    def plan_of(self, chosen: Iterable[ModelId], banned: Iterable[ModelId] = (), environment: str = MAIN, force: bool = False, **why) -> Plan:
+        """A plan of given models, with their types checked."""
+        chosen = list(chosen)
+        analyzer = self.analyse(chosen)
+        wanted = {str(i) for i in self.compiled.graph.upstream(chosen)}
+        self._refuse([d for d in type_diagnostics(analyzer) if d.where in wanted])
+        schemas = {i: a.schema for i, a in analyzer.results.items() if a.schema is not None}
+        return Planner(self.compiled, self.store, self.state, environment, schemas).plan(chosen, force, excluded=banned, **why)
 
     def runner(self, environment: str = MAIN, **options) -> Runner:
         return Runner(self.spark, self.compiled, self.store, self.state, self.sources, environment, **options)
@@ -103,7 +166,7 @@ class Project:
         if old is None or old["status"] not in ("running", "cancelled", "failed"):
             raise RunError(f"run {run} can't be resumed")
         done = self.state.model_runs(run)
-        plan = self.plan([m for m in done if m in {i.name for i in self.compiled.models}], environment=old["environment"])
+        plan = self.plan([m for m in done if m in {i.name for i in self.compiled.models}], environment=old["environment"]).because("resumed_run")
         return self.runner(old["environment"], **options).apply(plan, run, done)
 
     def retry_failed(self, run: str, **options) -> RunResult:
@@ -117,7 +180,7 @@ class Project:
                 names |= {x.name for x in self.compiled.tests[t].targets}
         if not names:
             raise RunError(f"nothing failed in run {run}")
-        return self.run(sorted(names), environment=old["environment"], **options)
+        return self.apply(self.plan(sorted(names), environment=old["environment"]).because("resumed_run"), **options)
 
     def test(self, include: Iterable[str] = (), environment: str = MAIN) -> dict[str, quality.TestOutcome]:
         """Tests alone; with a selection, those that have targets, all of them selected."""
@@ -155,6 +218,10 @@ class Project:
         return strategy, report, diff.evaluate(m.model.policy, report.first().asDict(), strategy)
 
     def _check(self) -> None:
-        errors = [d for d in self.compiled.diagnostics if d.severity == "error"]
+        self._refuse(self.compiled.diagnostics)
+
+    @staticmethod
+    def _refuse(found: Iterable[Diagnostic]) -> None:
+        errors = [d for d in found if d.severity == "error"]
         if errors:
-            raise RunError("; ".join(map(str, errors[:5])))
+            raise RunError("; ".join(map(str, errors[:5])) + (f"; and {len(errors) - 5} more" if len(errors) > 5 else ""))

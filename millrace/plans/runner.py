@@ -25,7 +25,7 @@ from . import contracts
 from .compiler import Compiled, CompiledModel
 from .dialect import to_spark
 from .identity import ModelId, Relation
-from .planner import BUILD, CACHED, INLINE, SKIP, Action, Plan, Planner, is_stale
+from .planner import CACHED, INLINE, SKIP, Action, Plan, staleness
 from .relations import references, rewrite
 from .sqltext import tokenize
 from .state import Record, State
@@ -137,8 +137,8 @@ class Runner:
         A failure blocks what depends on it and nothing else; with
         ``fail_fast`` no new model starts after one.
         """
-        if is_stale(plan, self.store):
-            raise RunError(f"{self.environment} has moved since the plan was made")
+        if why := staleness(plan, self.store, self.compiled):
+            raise RunError(why)
         started = time.time()
         self.live = dict(self.store.head(self.environment).tables)
         run = self.state.start_run(self.environment, plan.head, run)

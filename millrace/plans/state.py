@@ -44,6 +44,8 @@ class Record:
 class State:
     def __init__(self, path: str = ":memory:") -> None:
         self._lock = threading.Lock()
+        #: Whether records outlive this object.
+        self.lasting = path != ":memory:"
         self._db = sqlite3.connect(path, check_same_thread=False)
         self._db.row_factory = sqlite3.Row
         self._db.executescript(_TABLES)

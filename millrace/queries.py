@@ -45,7 +45,11 @@ def query(oracle: str) -> Callable:
 
 def _store(spark: SparkSession) -> Store:
     """A fresh store in the shared folder that the session names, or in a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="millrace-store-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder: executors can't write where the driver reads")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-store-")
     return Store(spark, f"{root.rstrip('/')}/store-{spark.sparkContext.applicationId}-{next(_numbers)}")
 
 
@@ -368,8 +372,13 @@ JOIN customer c ON c.c_custkey = b.o_custkey GROUP BY 1
 
 
 def _shop() -> str:
+    return _written(_SHOP)
+
+
+def _written(files: dict[str, str]) -> str:
+    """A workspace folder on the driver: models are compiled there."""
     root = tempfile.mkdtemp(prefix="millrace-shop-")
-    for name, content in _SHOP.items():
+    for name, content in files.items():
         path = os.path.join(root, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "w") as f:
@@ -400,6 +409,41 @@ def plan_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "round string, action string, n int")
 
 
+@query("SELECT * FROM (VALUES ('first', 'shop.counts', 'missing_relation'), ('same', 'shop.counts', 'unchanged'), ('changed', 'shop.counts', 'source_change'), ('after', 'shop.counts', 'unchanged')) t(round, model, reason)")
+def plan_source_change(spark: SparkSession, folder: str) -> DataFrame:
+    """A source's files change; the plan sees it from the file system alone."""
+    store = _store(spark)
+    raw = store.files.at("raw")
+    orders = _orders(spark, folder).select("o_custkey")
+    orders.where("o_custkey % 2 = 0").write.parquet(f"{raw}/orders.parquet")
+    project = Project(spark, _written({"millrace.toml": '[transform]\ndefault_schema = "a"\n', "workflows/shop/transforms/counts.sql": "-- @table\nSELECT o_custkey, count(*) AS n FROM orders GROUP BY 1"}), store.files.root, folder_sources(spark, raw))
+    rows = []
+    for label in ("first", "same", "changed", "after"):
+        if label == "changed":
+            orders.where("o_custkey % 2 = 1").write.mode("append").parquet(f"{raw}/orders.parquet")
+        project.reload()
+        plan = project.plan()
+        rows += [(label, m.name, a.reasons[0]) for m, a in plan.actions.items()]
+        project.apply(plan)
+    return spark.createDataFrame(rows, "round string, model string, reason string")
+
+
+@query("SELECT * FROM (VALUES ('shop.ambiguous', 'TYPE002', 'error'), ('shop.contract', 'TYPE005', 'error'), ('shop.twice', 'TYPE003', 'warning'), ('shop.unknown', 'TYPE001', 'error'), ('shop.width', 'TYPE004', 'error')) t(model, code, severity)")
+def type_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``check`` finds in the types of five wrong models and a right one."""
+    files = {
+        "millrace.toml": '[transform]\ndefault_schema = "a"\n[model."shop.contract".contract]\nenforced = true\n[model."shop.contract".columns.o_orderkey]\ntype = "VARCHAR"\n',
+        "workflows/shop/transforms/base.sql": "SELECT o_orderkey, o_custkey FROM orders",
+        "workflows/shop/transforms/unknown.sql": "SELECT nothing FROM base",
+        "workflows/shop/transforms/ambiguous.sql": "SELECT o_custkey FROM base a JOIN orders b ON a.o_orderkey = b.o_orderkey",
+        "workflows/shop/transforms/twice.sql": "SELECT o_orderkey, o_custkey AS o_orderkey FROM base",
+        "workflows/shop/transforms/width.sql": "SELECT o_orderkey FROM base UNION ALL SELECT o_orderkey, o_custkey FROM base",
+        "workflows/shop/transforms/contract.sql": "SELECT o_orderkey FROM base",
+    }
+    found = Project(spark, _written(files), _store(spark).files.root, folder_sources(spark, folder)).check()
+    return spark.createDataFrame([(d.where, d.code, d.severity) for d in found], "model string, code string, severity string")
+
+
 @query("SELECT * FROM (VALUES (1, 'shop.stg_orders'), (2, 'shop.big_orders'), (3, 'shop.orders_by_customer'), (4, 'shop.top_segments')) t(place, model)")
 def topo_order(spark: SparkSession, folder: str) -> DataFrame:
     order = compile_workspace(Workspace.load(_shop())).order

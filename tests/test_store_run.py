@@ -3,7 +3,9 @@ import datetime as dt
 import pytest
 from millrace.operators import asof, diff, materialize, quality
 from millrace.plans.identity import ModelId
-from millrace.plans.project import Project
+from millrace.plans.diagnostics import CODES
+from millrace.plans.planner import REASONS, staleness
+from millrace.plans.project import Project, folder_sources
 from millrace.plans.promotion import branch_diff, evaluate_gates, promote, rollback
 from millrace.plans.runner import RunError
 from millrace.sources.seeds import read_seed
@@ -193,7 +195,7 @@ def test_build_skip_and_rebuild(project):
     project.reload()
     plan = project.plan()
     assert kinds(plan) == {"stg": "skip", "mid": "inline", "out": "build", "seeded": "build"}
-    assert plan.actions[ModelId.parse("w.out")].reasons == ["dependency_changed"]
+    assert plan.actions[ModelId.parse("w.out")].reasons == ["dependency_change"]
     project.apply(plan)
     assert got(project.store.table("an.w__out")) == [(1, 3), (2, 6)]
     with pytest.raises(RunError):
@@ -201,12 +203,12 @@ def test_build_skip_and_rebuild(project):
 
 
 def test_failures_block_only_what_follows(project):
-    project.files({**FILES, T + "out.sql": "-- @table\nselect id, nope from mid", T + "free.sql": "-- @table\nselect 1 as k"})
+    project.files({**FILES, T + "out.sql": "-- @table\nselect id, cast(concat('x', cast(v as varchar)) as int) as v from mid", T + "free.sql": "-- @table\nselect 1 as k"})
     project.reload()
     r = project.run(retries=1)
     s = statuses(r)
     assert (s["out"], s["seeded"], s["free"], s["stg"]) == ("failed", "blocked", "passed", "passed")
-    assert r.models[ModelId.parse("w.out")].kind == "analysis" and r.tests["positive"].status == "blocked"
+    assert "CAST_INVALID_INPUT" in r.models[ModelId.parse("w.out")].message and r.tests["positive"].status == "blocked"
     project.files(FILES)
     project.reload()
     again = project.retry_failed(r.run)
@@ -240,7 +242,7 @@ def test_changed_sources_rebuild(spark, workspace, tmp_path):
     assert p.plan().summary()["skip"] == 1
     spark.range(3).write.mode("append").parquet(f"{folder}/ev.parquet")
     p.reload()
-    assert p.plan().actions[ModelId.parse("w.m")].reasons == ["source_changed"]
+    assert p.plan().actions[ModelId.parse("w.m")].reasons == ["source_change"]
     p.run()
     assert got(p.store.table("w.m")) == [(6,)]
 
@@ -294,8 +296,65 @@ def test_branch_adoption_gates_and_promotion(project):
 def test_contracts_are_enforced(project):
     project.files({**FILES, "millrace.toml": '[transform]\ndefault_schema = "an"\n[model."w.out".contract]\nenforced = true\n[model."w.out".columns.v]\ntype = "VARCHAR"\n'})
     project.reload()
-    r = project.run(["+out"])
-    assert statuses(r)["out"] == "failed" and "TYPE005" in r.models[ModelId.parse("w.out")].message
+    with pytest.raises(RunError, match="TYPE005"):
+        project.run(["+out"])
+
+
+@pytest.mark.parametrize(
+    ("sql", "code"),
+    [
+        ("select id, nope from mid", "TYPE001"),
+        ("select id from mid a join stg b on a.id = b.id", "TYPE002"),
+        ("select id from mid union all select id, v from stg", "TYPE004"),
+        ("select id, v, v as id from mid", "TYPE003"),
+        ("select m.id, m.v + 1 as w from mid m", None),
+    ],
+)
+def test_types_are_checked_before_anything_is_built(project, sql, code):
+    project.files({**FILES, T + "out.sql": f"-- @table\n{sql}"})
+    project.reload()
+    found = [d for d in project.check() if d.where == "w.out"]
+    assert [d.code for d in found] == ([code] if code else [])
+    assert all(code in CODES for code in [d.code for d in found])
+    if found and found[0].severity == "error":
+        with pytest.raises(RunError, match=code):
+            project.plan()
+        assert project.plan(["stg"]).actions  # what doesn't need the model is planned
+        assert not project.store.head().tables
+    else:
+        assert project.plan(["out"]).actions
+
+
+def test_sources_have_states_by_default(spark, workspace, tmp_path):
+    root = workspace({"millrace.toml": '[transform]\ndefault_schema = "a"\n', T + "m.sql": "-- @table\nselect id from src"})
+    folder = f"file://{tmp_path}/in"
+    spark.range(3).write.parquet(f"{folder}/src.parquet")
+    p = Project(spark, root, f"file://{tmp_path}/wh", folder_sources(spark, folder))
+    p.run()
+    p.reload()
+    assert p.plan().actions[ModelId.parse("w.m")].reasons == ["unchanged"]
+    spark.range(5).write.mode("append").parquet(f"{folder}/src.parquet")
+    p.reload()
+    assert p.plan().actions[ModelId.parse("w.m")].reasons == ["source_change"]
+
+
+def test_plans_say_why(project):
+    first = project.plan(["seeded"])
+    out, stg = (first.actions[ModelId.parse(f"w.{m}")] for m in ("out", "stg"))
+    assert stg.membership == out.membership == "dependency" and stg.reasons == ["missing_relation", "selected_dependency"]
+    assert out.reasons == ["missing_relation", "selected_dependency"]
+    project.apply(first)
+    forced = project.plan(["+out"], force=True)
+    assert forced.actions[ModelId.parse("w.out")].membership == "selected" and forced.actions[ModelId.parse("w.stg")].membership == "expanded"
+    assert set(sum((a.reasons for a in forced.actions.values()), [])) <= set(REASONS)
+    project.files({**FILES, T + "stg.sql": "-- @view\nselect id, v from src where v > 1"})
+    plan = project.plan()
+    project.reload()
+    assert "w.stg changed" in staleness(plan, project.store, project.compiled)
+    again = project.plan()
+    assert again.actions[ModelId.parse("w.stg")].reasons == ["sql_semantic_change"]
+    assert again.actions[ModelId.parse("w.out")].reasons == ["dependency_change"]
+    assert again.actions[ModelId.parse("w.seeded")].reasons == ["dependency_change", "upstream_rebuild"]
 
 
 def test_streaming_takes_every_file_once(spark, store, tmp_path):
