@@ -36,6 +36,8 @@ from ._stage import _give_back, shared_dir, ship
 
 #: Text bytes of a block (or one longer text), and of a text's parts that are split at once.
 BLOCK_BYTES, PIECE_BYTES = 32 << 20, 4 << 20
+#: Spark's own limit of buckets (``spark.sql.sources.bucketing.maxBuckets``).
+MOST_BUCKETS = 100_000
 #: Words that the tokenizer is given at once.
 ENCODE_WORDS = 20_000
 
@@ -92,12 +94,17 @@ def pieces(path: str) -> list[str]:
     return [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
 
 
+def id_type(path: str) -> str:
+    """The smallest little-endian type that holds every id."""
+    return "<u2" if load(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def encode_words(path: str, words: list[bytes]) -> list[bytes]:
-    """The ids of each word as little-endian unsigned 32-bit integers."""
-    tokenizer, out = load(path), []
+    """The ids of each word, packed as ``id_type``."""
+    tokenizer, kind, out = load(path), id_type(path), []
     for at in range(0, len(words), ENCODE_WORDS):
         for e in tokenizer.encode_batch_fast([w.decode() for w in words[at : at + ENCODE_WORDS]], add_special_tokens=False):
-            out.append(np.array(e.ids, dtype="<u4").tobytes())
+            out.append(np.array(e.ids, dtype=kind).tobytes())
     return out
 
 
@@ -200,7 +207,11 @@ def _bucketed(df: DataFrame, column: str) -> DataFrame:
     """``df`` written to the shared folder in buckets by a column, so that a join on it moves the other side only."""
     spark = df.sparkSession
     name = f"millrace_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Files know their size; what doesn't (a local table) says an absurd one.
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 60)
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // BLOCK_BYTES)))
     df.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
     table = spark.table(name)
     table.schema  # resolved: what follows needs the files only
@@ -238,6 +249,7 @@ def encode(docs: DataFrame, tokenizer_path: str, digests: bool = False) -> DataF
     spark = docs.sparkSession
     load(tokenizer_path)
     ship(spark)
+    kind = np.dtype(id_type(tokenizer_path))
     held = spark.sparkContext.broadcast([p.encode() for p in pieces(tokenizer_path)])  # bounded by the vocabulary
     table = _bucketed(_split(docs), "block")
     words = _encoded(table.where("word IS NOT NULL"), tokenizer_path)
@@ -247,9 +259,9 @@ def encode(docs: DataFrame, tokenizer_path: str, digests: bool = False) -> DataF
         """The texts of one block, from the ids of its words."""
         order = np.argsort(coded.column("idx").to_numpy())
         packed = coded.column("ids").take(pa.array(order)).to_pylist()
-        size = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+        size = np.array([len(p) // kind.itemsize for p in packed], dtype=np.int64)
         start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(packed), dtype="<u4")
+        flat = np.frombuffer(b"".join(packed), dtype=kind)
         piece = held.value
         text_of = [b" ".join([piece[i] for i in own]) for own in (flat[a : a + n].tolist() for a, n in zip(start.tolist(), size.tolist()))]
         out: dict[str, list] = defaultdict(list)

@@ -213,7 +213,7 @@ def test_word_parts_are_exact(tokenizer, texts):
     packed = bpe.encode_words(PATH, parts)
     for text, pos in zip(texts, positions):
         assert bpe.from_planes(bpe.planes(pos)).tolist() == pos.tolist()
-        ids = np.frombuffer(b"".join(packed[i] for i in pos), dtype="<u4").tolist()
+        ids = np.frombuffer(b"".join(packed[i] for i in pos), dtype=bpe.id_type(PATH)).tolist()
         want = tokenizer.encode(text, add_special_tokens=False).ids
         assert ids == want
         assert " ".join(names[i] for i in ids) == tokenizer.decode(want, skip_special_tokens=False)
