@@ -14,8 +14,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns (node, component) where component is the smallest node reachable.
     Alternates the two star contractions of the map-reduce algorithm for
     components: each round hangs larger neighbours on the smallest one, until
-    nothing changes.  A hub of any degree costs one row per neighbour and
-    round; minima are combined before the shuffle.  Self loops give a node its
+    nothing changes.  A hub of any degree costs one row of two numbers per
+    neighbour and round; minima are combined before the shuffle, and the join
+    with a hub's one minimum streams (adaptive execution splits it by size).
+    Self loops give a node its
     own component; null ends are ignored; no edges give no rows.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
