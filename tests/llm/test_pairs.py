@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 from collections import Counter
 
@@ -76,6 +77,16 @@ def test_near_duplicates_match_brute_force(spark, rule):
     assert got == brute_components(rows, rule)
 
 
+def test_hubs_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    """One document near hundreds of others: its pairs are joined in parts, with the same links."""
+    monkeypatch.setattr(near_duplicates, "HUB_PAIRS", 16)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(range(1, 100))]
+    rows = [(0, " ".join(base))] + [(i + 1, t) for i, t in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs_frame(spark, rows)).collect()}
+    assert got == brute_components(rows, Rule())
+
+
 def test_near_duplicates_large_buckets(spark, monkeypatch):
     """Blocks of a few members give the links that pairs give."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
@@ -229,6 +240,61 @@ def test_embedding_forest_recall(spark, monkeypatch):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_large_leaves_are_split_again(spark, monkeypatch):
+    """Trees fitted on few vectors give large leaves; those get trees of their own, until they are small."""
+    for name, value in {"LEAF": 16, "MAX_LEAF": 64, "FIT_LEAF": 200, "ROUTED": 100, "BLOCK": 50}.items():
+        monkeypatch.setattr(embeddings, name, value)
+    rows = embedding_fixture()
+    rows += [(2000 + i, [1.0] + [0.0] * 15, 0) for i in range(150)]  # one class
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    seen = []
+    refined = embeddings._refined
+
+    def spy(indexed, kind, trees):
+        out = refined(indexed, kind, trees)
+        seen.append([max(r["count"] for r in x.groupBy("part", "leaf").count().collect()) for x in (indexed, out)])
+        twice = out.groupBy("part", "leaf", "rep").count().where("count > 1").count()
+        assert twice == 0 and out.select("rep").distinct().count() == indexed.select("rep").distinct().count()
+        return out
+
+    monkeypatch.setattr(embeddings, "_refined", spy)
+    for bound in (100, 0):  # few vectors for the first trees, and no first trees at all
+        got = {r.vec_id: r.n_links for r in embeddings.near_embeddings(df, bound=bound).collect()}
+        want = {i: n for i, (n, _) in brute_links(rows).items()}
+        assert all(got[i] <= want[i] for i in want)
+        assert sum(got.values()) >= 0.9 * sum(want.values())
+    assert all(before > 64 >= after for before, after in seen), seen
+
+
+def test_vectors_that_no_line_parts_stay_one_leaf(spark, monkeypatch):
+    for name, value in {"LEAF": 4, "MAX_LEAF": 8, "BLOCK": 7}.items():
+        monkeypatch.setattr(embeddings, name, value)
+    rows = [(i, [float(i + 1), 0.0], 0) for i in range(40)]  # different classes, one direction
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in embeddings.near_embeddings(df, bound=0).collect()} == {(39, 0)}
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.1", "/root/testdata/check_s"])
+def test_recall_on_the_real_tables(spark, folder):
+    """All links of a table by brute force, label by label: at least 0.99 of them are found, and none besides."""
+    if not os.path.isdir(folder):
+        pytest.skip(f"no {folder}")
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    got = {r.vec_id: r.n_links for r in embeddings.near_embeddings(table).collect()}
+    rows = table.select("vec_id", "embedding", "label").collect()
+    found = total = 0
+    for label in {r.label for r in rows if r.label is not None}:
+        own = [r for r in rows if r.label == label and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
+        unit = np.array([r.embedding for r in own], dtype=np.float64)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        for at in range(0, len(own), 1000):
+            n = (unit[at : at + 1000] @ unit.T >= 0.93).sum(axis=1) - 1
+            for r, k in zip(own[at : at + 1000], n.tolist()):
+                assert got[r.vec_id] <= k
+                found, total = found + got[r.vec_id], total + k
+    assert found >= 0.99 * total and (total or "check" not in folder)  # sf0.1 holds no links at all
+
+
 def test_embeddings_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_embeddings(df).count() == 0
