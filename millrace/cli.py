@@ -63,6 +63,8 @@ class App:
 
             folder = os.path.join(self.args.root, STATE_DIR)
             os.makedirs(folder, exist_ok=True)
+            if not self.args.warehouse and not self.spark.sparkContext.master.startswith("local"):
+                raise SelectionError("--warehouse names no folder: executors can't write to this machine's")
             warehouse = self.args.warehouse or "file://" + os.path.abspath(os.path.join(folder, "warehouse"))
             sources = folder_sources(self.spark, self.args.sources) if self.args.sources else catalog_sources(self.spark)
             states = folder_states(self.spark, self.args.sources) if self.args.sources else None

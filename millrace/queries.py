@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import catalogue
 from .operators import asof, diff, materialize, quality
@@ -16,7 +17,9 @@ from .plans.compiler import compile_workspace
 from .plans.contracts import diff_contracts
 from .plans.graph import Graph
 from .plans.project import Project, folder_sources
+from .plans.selection import select
 from .plans.workspace import Workspace
+from .sources.seeds import read_seed
 from .sources.store import Store
 from .sources.tables import read_table
 from .streaming.windows import windowed_counts
@@ -479,6 +482,91 @@ def contract_changes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(c.kind, c.column, c.severity) for c in diff_contracts(old, new)], "kind string, column_name string, severity string")
 
 
+# ---------------------------------------------------------------- seeds, schemas, contracts and graphs
+
+
+@query("""
+SELECT c_custkey, c_custkey % 2 = 0 AS even, c_acctbal AS balance, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'name ' || c_custkey END AS label FROM customer
+""")
+def seed_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """A table written as CSV and read as a seed: bigint, boolean, double and string come back, empty is null."""
+    rows = read_table(spark, folder, "customer").selectExpr("c_custkey", "c_custkey % 2 = 0 AS even", "c_acctbal AS balance", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('name ', c_custkey) END AS label")
+    path = _store(spark).files.at("seed")
+    rows.write.csv(path, header=True, escape='"')
+    return read_seed(spark, path)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey || ', \"' || c_mktsegment || '\"' END AS label, NULL::VARCHAR AS nothing FROM customer")
+def seed_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Without inference all columns are text; commas and quotes in values survive, a column without values is text."""
+    rows = read_table(spark, folder, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat(c_custkey, ', \"', c_mktsegment, '\"') END AS label", "CAST(NULL AS STRING) AS nothing")
+    path = _store(spark).files.at("seed")
+    rows.write.csv(path, header=True, escape='"')
+    return read_seed(spark, path, infer=False)
+
+
+@query("""
+SELECT * FROM (VALUES ('added', 'maybe', 'safe'), ('added', 'sure', 'review'), ('removed', 'gone', 'full_rebuild_required'), ('renamed', 'label', 'review'), ('type_changed', 'n', 'review'),
+  ('type_changed', 's', 'error'), ('nullability_changed', 'k', 'safe')) t(kind, column_name, safety)
+""")
+def schema_changes(spark: SparkSession, folder: str) -> DataFrame:
+    old = StructType.fromDDL("k bigint not null, n int, s string, gone int, name string")
+    new = StructType.fromDDL("k bigint, n bigint, s boolean, maybe int, sure int not null, label string")
+    return spark.createDataFrame([(c.kind, c.column, c.safety) for c in diff.schema_changes(old, new, {"label": "name"})], "kind string, column_name string, safety string")
+
+
+@query("""
+SELECT * FROM (VALUES ('shop.loose', 'warning', 'column missing_one is missing'), ('shop.strict', 'error', 'column missing_one is missing'), ('shop.strict', 'error', 'column n is bigint, the contract says string'),
+  ('shop.strict', 'error', 'column top may be null')) t(model, severity, message)
+""")
+def contract_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """An enforced contract's violations are errors, another's warnings."""
+    strict = '[model."shop.strict".contract]\nenforced = true\n[model."shop.strict".columns.missing_one]\ntype = "BIGINT"\n[model."shop.strict".columns.n]\ntype = "VARCHAR"\n[model."shop.strict".columns.top]\nnullable = false\n'
+    config = strict + '[model."shop.loose".columns.missing_one]\ntype = "BIGINT"\n'
+    sql = "SELECT o_custkey, count(*) AS n, max(nullif(o_totalprice, 0)) AS top FROM orders GROUP BY 1"
+    files = {"millrace.toml": '[transform]\ndefault_schema = "a"\n' + config, "workflows/shop/transforms/strict.sql": sql, "workflows/shop/transforms/loose.sql": sql}
+    found = Project(spark, _written(files), _store(spark).files.root, folder_sources(spark, folder)).check()
+    return spark.createDataFrame([(d.where, d.severity, d.message) for d in found if d.code == "TYPE005"], "model string, severity string, message string")
+
+
+@query("SELECT * FROM (VALUES ('unfiltered', (SELECT count(*) FROM orders WHERE NOT o_totalprice > 20000)), ('filtered', (SELECT count(*) FROM orders WHERE NOT o_totalprice > 20000 AND o_orderstatus = 'F'))) t(test, violations)")
+def test_where_filters_violations(spark: SparkSession, folder: str) -> DataFrame:
+    bad = quality.expression_is_true(_orders(spark, folder), "o_totalprice > 20000")
+    return spark.createDataFrame([("unfiltered", quality.run_test("t", bad).violations), ("filtered", quality.run_test("t", bad, "o_orderstatus = 'F'").violations)], "test string, violations long")
+
+
+@query("""
+SELECT * FROM (VALUES ('+orders_by_customer', 'shop.big_orders'), ('+orders_by_customer', 'shop.orders_by_customer'), ('+orders_by_customer', 'shop.stg_orders'),
+  ('big_orders+', 'shop.big_orders'), ('big_orders+', 'shop.orders_by_customer'), ('big_orders+', 'shop.top_segments'), ('shop.*', 'shop.big_orders'), ('shop.*', 'shop.orders_by_customer'),
+  ('shop.*', 'shop.top_segments'), ('top_segments', 'shop.top_segments')) t(term, model)
+""")
+def selectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Selections by name, with what they need and with what needs them, and of a namespace without one model."""
+    compiled = compile_workspace(Workspace.load(_shop()))
+    rows = [(term, i.name) for term in ("top_segments", "+orders_by_customer", "big_orders+") for i in select(compiled, [term])]
+    rows += [("shop.*", i.name) for i in select(compiled, ["shop.*"], ["stg_orders"])]
+    return spark.createDataFrame(rows, "term string, model string")
+
+
+@query("SELECT * FROM (VALUES ('edge removed', 'shop.top_segments.top'), ('node added', 'shop.top_segments.lowest'), ('node removed', 'shop.top_segments.top')) t(change, node)")
+def lineage_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The lineage graphs of a workspace before and after one column gives way to another."""
+    from .plans.analysis import Analyzer
+    from .plans.lineage import LineageGraph, lineage_diff
+
+    find = folder_sources(spark, folder)
+
+    def graph(files: dict[str, str]) -> LineageGraph:
+        compiled = compile_workspace(Workspace.load(_written(files)))
+        return LineageGraph.build(compiled, Analyzer(spark, compiled, lambda r: find(r).schema).run())
+
+    name = "workflows/shop/transforms/top_segments.sql"
+    found = lineage_diff(graph(_SHOP), graph(_SHOP | {name: _SHOP[name].replace("max(b.top) AS top", "min(b.n) AS lowest")}))
+    rows = [("node added", n.name) for n in found.nodes_added] + [("node removed", n.name) for n in found.nodes_removed]
+    rows += [("edge removed", e.target.name) for e in found.edges_removed if e.target.name.endswith(".top")]
+    return spark.createDataFrame(sorted(set(rows)), "change string, node string")
+
+
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def tumbling_window(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events")

@@ -88,6 +88,10 @@ class Service:
                 return self.call("impact", target)
             case ["v1", "impact"]:
                 return {m["id"]: self.call("impact", m["id"]) for m in self.call("list", *_terms(query))}
+            case ["v1", "diff", "lineage"]:
+                if "base" not in query:
+                    raise HttpError(400, "base is the path of an exported graph")
+                return self.call("lineage", "--diff", query["base"], *([query["candidate"]] if "candidate" in query else []))
             case ["v1", "diff", "branch"]:
                 return self.call("diff", "--from", query.get("from", "main"), "--to", query.get("to", "main"), *(["--deep"] if query.get("deep") else []))
             case ["v1", "state", "runs"]:

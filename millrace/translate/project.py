@@ -421,6 +421,12 @@ def lower_helper(name: str, args: list, named: dict, variables: dict) -> str | N
     if name == "dbt_utils.date_spine":
         part = arg(0, "datepart")
         return f"(select d as date_{part} from generate_series({arg(1, 'start_date')}, {arg(2, 'end_date')} - interval '1' {part}, interval '1' {part}) as s(d))"
+    if name == "dbt_date.get_base_dates":
+        return _base_dates(arg(0, "start_date"), arg(1, "end_date"), arg(2, "n_dateparts"), arg(3, "datepart", "day"))
+    if name == "fivetran_utils.partition_by_source_relation":
+        return _source_relation(arg(0, "package_name"), arg(1, "has_other_partitions", "yes"), arg(2, "alias"), arg(3, "package_prefix_union_variable", True), variables)
+    if name == "fivetran_utils.fill_pass_through_columns":
+        return _pass_through(variables.get(arg(0, "pass_through_variable")))
     if short.startswith("type_"):
         return _TYPES.get(short[5:])
     if not name.startswith("dbt."):
@@ -454,5 +460,49 @@ def lower_helper(name: str, args: list, named: dict, variables: dict) -> str | N
     return None
 
 
+_DATE_PARTS = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
+
+
+def _base_dates(start: Any, end: Any, parts: Any, part: Any) -> str | None:
+    """Dates from a start to an end, or from some parts before today to tomorrow; both ends included."""
+    if part not in _DATE_PARTS:
+        return None
+    if isinstance(start, str) and isinstance(end, str):
+        first, last = f"cast('{start}' as timestamp)", f"cast('{end}' as timestamp)"
+    elif start is None and end is None and isinstance(parts, int):
+        first, last = f"cast(current_date as timestamp) - interval '{parts}' {part}", f"cast(current_date as timestamp) + interval '1' {part}"
+    else:
+        return None
+    return f"(select date_trunc('{part}', d) as date_{part} from generate_series({first}, {last}, interval '1' {part}) as s(d))"
+
+
+def _source_relation(package: Any, others: Any, alias: Any, prefixed: Any, variables: dict) -> str | None:
+    """The partition column of a connector that unions several schemas, databases or sources; nothing for one that doesn't."""
+    if not isinstance(package, str) or not isinstance(prefixed, bool):
+        return None
+    before = f"{package}_" if prefixed else ""
+    unions = any(isinstance(v := variables.get(name), (list, tuple, dict, str)) and len(v) > 1 for name in (f"{before}union_schemas", f"{before}union_databases", f"{package}_sources"))
+    if not unions:
+        return ""
+    column = f"{alias}.source_relation" if alias else "source_relation"
+    return f"partition by {column}" if others == "no" else f", {column}"
+
+
+def _pass_through(fields: Any) -> str | None:
+    """The columns that a variable lists, each after a comma: names, or mappings with name, alias and transform_sql."""
+    if not isinstance(fields, list):
+        return None
+    out = []
+    for f in fields:
+        if isinstance(f, str):
+            out.append(f)
+            continue
+        name = (f.get("alias") or f.get("name")) if isinstance(f, dict) else None
+        if not isinstance(name, str) or "{{" in name or "{{" in str(f.get("transform_sql") or ""):
+            return None
+        out.append(f"{f['transform_sql']} as {name}" if f.get("transform_sql") else name)
+    return "".join(f", {c}" for c in out)
+
+
 def translate(root: str | os.PathLike) -> Translation:
     return Translator(root).run()
