@@ -11,7 +11,7 @@ import pytest
 from conftest import SF
 from millrace.llm import language, mixing
 from millrace.llm.near_duplicates import Rule
-from millrace.llm.queries import language_filters, tokenizer_path
+from millrace.llm.queries import QUERIES, language_filters, tokenizer_path
 from pyspark.sql import functions as F
 from test_pairs import brute_components, brute_lines
 from tokenizers import Tokenizer
@@ -34,8 +34,8 @@ def plain_grams(text):
         yield [int.from_bytes(bytes([order]) + raw[i : i + order], "big") for i in range(len(raw) - order + 1) if raw[i] != 32 or raw[i + 1] != 32]
 
 
-def plain_coverage(text, filters):
-    """The best language's corrected share of n-grams, from one slot lookup at a time."""
+def plain_votes(text, filters):
+    """Each language's corrected n-grams, from one slot lookup at a time, and the number of n-grams."""
     hits, total = [0.0] * len(filters.languages), 0
     for grams in plain_grams(text):
         total += len(grams)
@@ -46,9 +46,27 @@ def plain_coverage(text, filters):
                 raw = sum(all(int(filters.slots[lang // 64][slots[i]]) >> (lang % 64) & 1 for slots in at) for i in range(len(grams)))
                 false = filters.false_rate[lang]
                 hits[lang] += max(0, raw - len(grams) * false) / (1 - false)
+    return hits, total
+
+
+def plain_coverage(text, filters):
+    hits, total = plain_votes(text, filters)
     return min(1.0, max(hits) / max(total, 1))
 
 
+def test_op8_equals_a_plain_version(spark):
+    filters = language_filters(spark, SF)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op8_language"](spark, SF).collect():
+        text = texts[r.doc_id] or ""
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        hits, total = plain_votes(text, filters)
+        assert r.lang_pred == filters.languages[hits.index(max(hits))]
+        assert r.score == pytest.approx(max(hits) / sum(hits)) and r.coverage == pytest.approx(min(1.0, max(hits) / total))
+
+
 def plain_language(rows, filters):
     return [r for r in rows if any(map(str.isalpha, r[1] or "")) and plain_coverage(r[1], filters) >= corpus_pipeline.LEAST_COVERAGE]
 

@@ -168,6 +168,36 @@ def test_statistics_of_small_texts(texts):
     assert got == [plain_statistics(t) for t in texts]
 
 
+def plain_probability(text, model):
+    """One n-gram at a time, through dictionaries."""
+    with np.errstate(over="ignore"):
+        words = Counter(text.encode().lower().split())
+        z = model.bias
+        for chunk in chunks(pa.array([w.decode() for w in words], pa.string())):
+            h = chunk.range_hash(chunk.offsets[:-1], chunk.offsets[1:]) & np.uint64(quality.WORD_BUCKETS - 1)
+            shares = Counter()
+            for bucket, n in zip(h.tolist(), words.values()):
+                shares[bucket] += n
+            z += sum(model.words[b] * (n / sum(words.values())) ** 0.5 for b, n in shares.items())
+        raw = text.encode()
+        grams = Counter(int.from_bytes(raw[i : i + quality.ORDER], "big") for i in range(len(raw) - quality.ORDER + 1))
+        shares = Counter()
+        for gram, n in grams.items():
+            shares[int(quality.mix(np.array([gram], dtype=np.uint64), 8)[0]) % quality.CHAR_BUCKETS] += n
+        z += sum(model.chars[b] * (n / grams.total()) ** 0.5 for b, n in shares.items())
+    return float(quality.sigmoid(np.array([model.slope * z + model.offset]))[0])
+
+
+def test_quality_verdicts_equal_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.score(docs, model).collect():
+        p = plain_probability(texts[r.doc_id], model)
+        assert r.probability == pytest.approx(p, abs=1e-4)
+        assert abs(p - quality.KEEP_AT) < 1e-3 or r.kept == (not r.base_failed and p >= quality.KEEP_AT)
+
+
 def test_quality_generalises(spark):
     """A model fitted without a fold judges that fold."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
