@@ -61,6 +61,12 @@ def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return map_arrow(docs.where("doc_id is not null").select("doc_id", "th", "text"), make, _ROW)
 
 
+def _rows(kind: int, key: tuple, columns: list[np.ndarray], n_docs: int = 0) -> list[np.ndarray]:
+    """Output rows of one key: ``columns`` are doc_id, th, pos and n_lines."""
+    n = len(columns[0])
+    return [np.full(n, kind), np.full(n, key[0]), np.full(n, key[1]), *columns, np.full(n, n_docs)]
+
+
 class _Stream:
     """Follows the runs of equal keys through a task's sorted rows, holding at most ``need`` documents' rows of an open run."""
 
@@ -73,40 +79,39 @@ class _Stream:
     def open(self) -> None:
         self.docs, self.keeper, self.last, self.held = 0, None, None, []
 
-    def close(self) -> list[tuple]:
+    def close(self) -> list[list[np.ndarray]]:
         """Rows due when a run ends inside the task: a first run may have begun before it."""
         out = [self.summary()] if self.key is not None and self.first_run else []
         self.first_run = self.first_run and self.key is None
         self.open()
         return out
 
-    def summary(self) -> tuple:
-        return (_SUMMARY, *self.key, self.keeper, 0, 0, 0, self.docs)
+    def summary(self) -> list[np.ndarray]:
+        zero = np.zeros(1, dtype=np.int64)
+        return _rows(_SUMMARY, self.key, [zero + self.keeper, zero, zero, zero], self.docs)
 
-    def feed(self, rows: list[np.ndarray], lo: int, hi: int) -> list[tuple]:
+    def feed(self, rows: list[np.ndarray], lo: int, hi: int) -> list[list[np.ndarray]]:
         """One batch's share of the open run."""
-        out = []
-        for i in range(lo, hi):
-            doc = int(rows[2][i])
-            if doc != self.last:
-                self.docs += 1
-                self.last = doc
-                if self.keeper is None:
-                    self.keeper = doc
-            row = (*self.key, doc, int(rows[3][i]), int(rows[4][i]), int(rows[5][i]), 0)
-            if self.first_run:
-                out.append((_EDGE, *row))
-            elif doc != self.keeper:
-                self.held.append((_DROP, *row))
-        if self.docs >= self.need and self.held:
-            out += self.held
-            self.held = []
+        own = [r[lo:hi] for r in rows[2:6]]
+        doc = own[0]
+        self.docs += int((doc[1:] != doc[:-1]).sum()) + int(self.last is None or doc[0] != self.last)
+        self.last = int(doc[-1])
+        if self.keeper is None:
+            self.keeper = int(doc[0])
+        if self.first_run:
+            return [_rows(_EDGE, self.key, own)]
+        lose = doc != self.keeper
+        if lose.any():
+            self.held.append(_rows(_DROP, self.key, [c[lose] for c in own]))
+        out: list[list[np.ndarray]] = []
+        if self.docs >= self.need:
+            out, self.held = self.held, []
         return out
 
-    def finish(self) -> list[tuple]:
+    def finish(self) -> list[list[np.ndarray]]:
         if self.key is None:
             return []
-        return [(_EDGE, *row[1:]) for row in self.held] + [self.summary()]
+        return [[np.full(len(h[0]), _EDGE), *h[1:]] for h in self.held] + [self.summary()]
 
 
 def _streamed(ranged: DataFrame, min_docs: int) -> DataFrame:
@@ -117,8 +122,8 @@ def _streamed(ranged: DataFrame, min_docs: int) -> DataFrame:
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         stream = _Stream(min_docs)
 
-        def pack(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) if rows else [[]] * len(names)
+        def pack(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         for batch in batches:
@@ -129,7 +134,7 @@ def _streamed(ranged: DataFrame, min_docs: int) -> DataFrame:
             change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
             cuts = np.concatenate([[0], change, [n]])
             head, tail = int(cuts[1]), int(cuts[-2])
-            out: list[tuple] = []
+            out: list[list[np.ndarray]] = []
             key = (int(rows[0][0]), int(rows[1][0]))
             if key != stream.key:
                 out += stream.close()
