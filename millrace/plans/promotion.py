@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql.types import StructType
@@ -12,6 +13,7 @@ from millrace.operators import diff
 from millrace.sources.store import MAIN, Commit, Conflict, Version
 
 from . import contracts
+from .compiler import CompiledModel
 from .project import Project
 from .runner import RunError
 from .state import Record
@@ -41,6 +43,8 @@ class BranchDiff:
     candidate_head: str
     deep: bool
     datasets: list[DatasetDiff]
+    #: Changed model -> the models downstream of it, in order.
+    impacts: dict[str, list[str]] = field(default_factory=dict)
 
     def of(self, status: str) -> list[str]:
         return [d.model for d in self.datasets if d.status == status]
@@ -55,12 +59,12 @@ def branch_diff(project: Project, candidate: str, base: str = MAIN, deep: bool =
 
     Statuses come from the heads and the recorded versions alone.  With
     ``rows`` the rows of changed tables are counted; ``deep`` runs keyed diffs
-    of changed tables that have a key or a policy.
+    of changed tables that have a key or a policy; several tables at a time.
     """
     a, b = project.store.head(base), project.store.head(candidate)
     old = {r.model: r for r in project.state.records(base)}
     new = {r.model: r for r in project.state.records(candidate)}
-    out = []
+    out, changed = [], []
     for i in project.compiled.order:
         m = project.compiled.models[i]
         if m.materialization == "ephemeral":
@@ -78,20 +82,30 @@ def branch_diff(project: Project, candidate: str, base: str = MAIN, deep: bool =
             status = "changed"
         d = DatasetDiff(i.name, status)
         out.append(d)
-        if status != "changed" or x.kind != "table" or y.kind != "table":
-            continue
+        if status == "changed" and x.kind == "table" and y.kind == "table":
+            changed.append((d, m, x, y))
+
+    def compare(item: tuple[DatasetDiff, CompiledModel, Version, Version]) -> None:
+        d, m, x, y = item
+        name = m.id.name
         changes = diff.schema_changes(_schema(x), _schema(y), m.model.contract.renames)
         d.schema, d.safety = [f"{c.kind} {c.column} {c.detail}".strip() for c in changes], diff.safety(changes)
-        moved = contracts.diff_contracts(old[i.name].contract if i.name in old else None, new[i.name].contract if i.name in new else None)
+        moved = contracts.diff_contracts(old[name].contract if name in old else None, new[name].contract if name in new else None)
         d.contract = contracts.gravest(moved)
         if deep and (m.key or m.model.policy):
-            strategy, report, verdict = project.diff(i.name, base, candidate)
+            strategy, report, verdict = project.diff(name, base, candidate)
             d.report = report.first().asDict()
             d.base_rows, d.candidate_rows = d.report["base_rows"], d.report["candidate_rows"]
             d.passed, d.failures = (verdict.passed, verdict.failures) if verdict else (True, ())
         elif rows or deep:
             d.base_rows, d.candidate_rows = project.store.read(x).count(), project.store.read(y).count()
-    found = BranchDiff(base, candidate, a.id, b.id, deep, out)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(compare, changed))
+    graph = project.compiled.graph
+    ids = {i.name: i for i in project.compiled.order}
+    impacts = {d.model: [i.name for i in project.compiled.order if i in graph.downstream({ids[d.model]}) - {ids[d.model]}] for d in out if d.status in ("added", "removed", "changed")}
+    found = BranchDiff(base, candidate, a.id, b.id, deep, out, impacts)
     project.state.evidence("branch_diff", f"{base}..{candidate}", {"base_head": a.id, "candidate_head": b.id, "deep": deep, "datasets": [asdict(d) for d in out]})
     return found
 

@@ -58,6 +58,19 @@ def test_asof_join(spark):
     assert {(r.t, r.v) for r in asof.asof_join(left, right, ["k"], "t", "t", ["v"], strict=True).where("k = 'a' AND t IS NOT NULL").collect()} == {(5, "x"), (1, None)}
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_of_a_hot_key_by_slices(spark, strict):
+    """One key holds nearly all rows; slices of its time axis give the same matches, gaps and nulls included."""
+    left = spark.range(400).selectExpr("CASE WHEN id % 40 = 0 THEN NULL WHEN id % 13 = 0 THEN 'cold' ELSE 'hot' END AS k", "CASE WHEN id % 57 = 0 THEN NULL ELSE timestamp_seconds((id * 7919) % 5000) END AS t", "id")
+    right = spark.range(90).selectExpr("CASE WHEN id % 9 = 0 THEN 'cold' ELSE 'hot' END AS k", "timestamp_seconds(CASE WHEN id < 60 THEN (id * 31) % 900 ELSE 4000 + id END) AS u", "id * 10 AS v")
+    right = right.groupBy("k", "u").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
+    whole = asof.asof_join(left, right, ["k"], "t", "u", ["v"], strict)
+    sliced = asof.asof_join(left, right, ["k"], "t", "u", ["v"], strict, slices=7)
+    assert sliced.columns == whole.columns
+    assert sorted(map(str, sliced.collect())) == sorted(map(str, whole.collect()))
+    assert len({r.v for r in whole.collect()}) > 20
+
+
 def test_keyed_diff_and_null_keys(spark):
     base = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (None, 7.0)], "id int, value double")
     cand = spark.createDataFrame([(2, 2.5), (3, None), (4, 4.0), (None, 7.0)], "id int, value double")
@@ -293,6 +306,18 @@ def test_branch_adoption_gates_and_promotion(project):
         promote(project, "cand")
 
 
+def test_branch_diffs_name_what_is_downstream(project):
+    project.run()
+    project.ensure("cand")
+    project.files({**FILES, T + "out.sql": "-- @table\n-- @key id\nselect id, sum(v) + 1 as v from mid group by id"})
+    project.reload()
+    assert project.run(environment="cand").status == "passed"
+    found = branch_diff(project, "cand", deep=True)
+    assert found.impacts == {"w.out": ["w.seeded"], "w.seeded": []}
+    out = next(d for d in found.datasets if d.model == "w.out")
+    assert out.report["modified"] == 2 and out.base_rows == out.candidate_rows == 2
+
+
 def test_contracts_are_enforced(project):
     project.files({**FILES, "millrace.toml": '[transform]\ndefault_schema = "an"\n[model."w.out".contract]\nenforced = true\n[model."w.out".columns.v]\ntype = "VARCHAR"\n'})
     project.reload()
