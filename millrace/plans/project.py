@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterable
 
@@ -101,7 +102,10 @@ class Project:
         return self.compiled
 
     def analyse(self, models: Iterable[ModelId] | None = None) -> Analyzer:
-        """Types of the models (None: all) and what they need; known ones are kept until the next reload."""
+        """Types of the models (None: all) and what they need, kept until the next reload.
+
+        What a branch holds in the version still wanted has its types on record.
+        """
         if self._analyzer is None:
             known: dict[str, StructType | None] = {}
 
@@ -114,10 +118,25 @@ class Project:
                     known[relation.key] = df.schema if df is not None else None
                 return known[relation.key]
 
-            self._analyzer = Analyzer(self.spark, self.compiled, schema, lineage=False)
+            self._analyzer = Analyzer(self.spark, self.compiled, schema, lineage=False, known=self._built())
         self._analyzer.run(models)
         return self._analyzer
 
+    def _built(self) -> dict[ModelId, StructType]:
+        heads: dict[str, dict] = {}
+        out = {}
+        wanted = {i.name: i for i in self.compiled.models}
+        for r in self.state.records():
+            i = wanted.get(r.model)
+            if i is None or i in out or self.compiled.models[i].version != r.version:
+                continue
+            if r.environment not in heads:
+                heads[r.environment] = self.store.head(r.environment).tables if self.store.has_branch(r.environment) else {}
+            live = heads[r.environment].get(r.target)
+            if live is not None and live.id == r.output_identity and live.schema:
+                out[i] = StructType.fromJson(json.loads(live.schema))
+        return out
+
     def check(self) -> list[Diagnostic]:
         """All diagnostics: the compilation's, and if it has no errors those of types and contracts."""
         found = list(self.compiled.diagnostics)

@@ -262,7 +262,7 @@ class Runner:
             if d.severity == "error":
                 raise RunError(str(d))
         if m.materialization == "view":
-            return self.store.view(m.sql)
+            return self.store.view(m.sql, rows.schema)
         inc = m.model.incremental if m.materialization == "incremental" else None
         partitions = inc.columns if inc and inc.strategy == "partition" else ()
         before = None
