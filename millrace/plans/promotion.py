@@ -117,6 +117,10 @@ class Gate:
     detail: str = ""
 
 
+def _id(commit: Commit, key: str) -> str | None:
+    return commit.tables[key].id if key in commit.tables else None
+
+
 def evaluate_gates(project: Project, candidate: str, target: str = MAIN, require_diff: bool = False, allow_breaking: bool = False) -> list[Gate]:
     """All gates in their fixed order; what can't be shown to hold has failed."""
     head, goal = project.store.head(candidate), project.store.head(target)
@@ -129,8 +133,15 @@ def evaluate_gates(project: Project, candidate: str, target: str = MAIN, require
     blocked = sorted([m for m, r in (project.state.model_runs(last["id"]) if last else {}).items() if r["status"] == "blocked"] + [t for t, r in tests.items() if r["status"] == "blocked"])
     out.append(Gate("blocked", last is not None and not blocked, ", ".join(blocked)))
     audit = next((e["detail"] for e in project.state.evidences("branch_diff", f"{target}..{candidate}") if (e["detail"]["base_head"], e["detail"]["candidate_head"]) == (goal.id, head.id)), None)
-    if audit is None:
+    # What differs between the heads has to be in the diff: models may have come since it was made.
+    differ = {i.name for i, m in project.compiled.models.items() if m.materialization != "ephemeral" and _id(head, m.target.key) != _id(goal, m.target.key)}
+    uncovered = sorted(differ - {d["model"] for d in audit["datasets"]}) if audit else []
+    if candidate == target:
+        out.append(Gate("schema", False, "a branch can't be promoted to itself"))
+    elif audit is None:
         out.append(Gate("schema", False, "no branch diff of these heads"))
+    elif uncovered:
+        out.append(Gate("schema", False, f"the branch diff doesn't cover {', '.join(uncovered)}"))
     else:
         grave = [d["model"] for d in audit["datasets"] if diff.SEVERITY[d["safety"]] >= diff.SEVERITY[diff.FULL_REBUILD] or d["contract"] == contracts.BREAKING]
         out.append(Gate("schema", allow_breaking or not grave, ", ".join(grave)))

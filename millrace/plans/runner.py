@@ -233,26 +233,34 @@ class Runner:
     def _try(self, m: CompiledModel, action: Action, run: str, started: float) -> Outcome:
         pause = 0.2
         for attempt in range(1, self.retries + 2):
-            tag = f"{run}:{m.id.name}"
-            self.binder.session.addTag(tag)
-            timer = threading.Timer(self.timeout, lambda: self.binder.session.interruptTag(tag)) if self.timeout else None
+            tag = f"{run}:{m.id.name}".replace(",", "_")
+            self.spark.sparkContext.addJobTag(tag)
+            late, done = threading.Event(), threading.Event()
+
+            def watch() -> None:
+                """Once the time is up, whatever jobs the model still starts are cancelled."""
+                if done.wait(self.timeout):
+                    return
+                late.set()
+                while not done.wait(0.25):
+                    self.spark.sparkContext.cancelJobsWithTag(tag)  # a session knows only its own thread's tags
+
             try:
-                if timer:
-                    timer.start()
+                if self.timeout:
+                    threading.Thread(target=watch, daemon=True).start()
                 version = self._build(m, action)
                 self._record(m.target.key, version)
                 self._save(m, action, version, run)
                 return Outcome(PASSED, version, attempts=attempt)
             except Exception as e:  # reported as the model's outcome
-                kind = failure_kind(e)
+                kind = "timeout" if late.is_set() else failure_kind(e)
                 if kind != "transient" or attempt > self.retries:
-                    return Outcome(FAILED, message=str(e).split("\n")[0][:800], attempts=attempt, kind=kind)
+                    return Outcome(FAILED, message=(f"stopped after {self.timeout:g} s: " if late.is_set() else "") + str(e).split("\n")[0][:800], attempts=attempt, kind=kind)
                 time.sleep(pause)
                 pause = min(5.0, pause * 2)
             finally:
-                if timer:
-                    timer.cancel()
-                self.binder.session.removeTag(tag)
+                done.set()
+                self.spark.sparkContext.removeJobTag(tag)
         raise AssertionError("unreachable")
 
     def _build(self, m: CompiledModel, action: Action) -> Version:

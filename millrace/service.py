@@ -147,7 +147,7 @@ class Service:
             if operation.status == "pending":
                 operation.status = "cancelled"
             elif operation.status == "running":
-                self.spark.interruptAll()
+                self.spark.sparkContext.cancelAllJobs()
                 operation.status = "cancelled"
         return operation
 

@@ -306,6 +306,29 @@ def test_branch_adoption_gates_and_promotion(project):
         promote(project, "cand")
 
 
+def test_a_diff_that_lacks_a_changed_model_is_no_audit(project):
+    project.run()
+    project.ensure("cand")
+    project.files({**FILES, T + "more.sql": "-- @table\nselect 1 as one"})
+    project.reload()
+    known = project.compiled.models.pop(ModelId.parse("w.more"))
+    project.compiled.order.remove(known.id)
+    project.runner("cand").store.record("cand", {known.target.key: project.store.write(known.target.key, project.spark.range(1))})
+    branch_diff(project, "cand", deep=True)
+    project.reload()
+    schema = next(g for g in evaluate_gates(project, "cand") if g.name == "schema")
+    assert not schema.passed and "doesn't cover w.more" in schema.detail
+    assert "itself" in next(g for g in evaluate_gates(project, "main", "main") if g.name == "schema").detail
+
+
+def test_late_models_are_timeouts(project):
+    project.files({**FILES, T + "slow.sql": "-- @table\nselect count(*) as n from range(100000000000) a"})
+    project.reload()
+    r = project.run(["slow"], timeout=1.5)
+    out = r.models[ModelId.parse("w.slow")]
+    assert out.status == "failed" and out.kind == "timeout" and out.message.startswith("stopped after 1.5 s")
+
+
 def test_branch_diffs_name_what_is_downstream(project):
     project.run()
     project.ensure("cand")
