@@ -151,13 +151,18 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Of candidate pairs (a, b), those whose whole shingle sets meet the threshold.
 
     A hub's pairs are salted, and its text is copied once per ``HUB_PAIRS`` of
-    them.  The hubs are a small table: each stands for that many pairs.
+    them; all others share one exchange of the texts.  The hubs are a small
+    table: each stands for that many pairs.
     """
     pairs = settle(pairs)
     hubs = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_PAIRS).select("a", F.ceil(F.col("n") / HUB_PAIRS).cast("int").alias("copies")))
-    pairs = pairs.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")), F.lit(0)).cast("int").alias("salt"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).join(hubs, "a", "left")
-    left = left.select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    if hubs.isEmpty():
+        begun = pairs.join(left, "a")
+    else:
+        salted = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
+        copied = left.join(hubs, "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+        begun = pairs.join(hubs, "a", "left_anti").join(left, "a").select("a", "b", "ta").unionByName(salted.join(copied, ["a", "salt"]).select("a", "b", "ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def make():
@@ -179,7 +184,7 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
         return step
 
-    return map_arrow(pairs.join(left, ["a", "salt"]).join(right, "b").select("a", "b", "ta", "tb"), make, "a long, b long").distinct()
+    return map_arrow(begun.join(right, "b").select("a", "b", "ta", "tb"), make, "a long, b long").distinct()
 
 
 class _Union:
