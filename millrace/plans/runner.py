@@ -23,7 +23,7 @@ from millrace.sources.tables import model_session
 
 from . import contracts
 from .compiler import Compiled, CompiledModel
-from .dialect import to_spark
+from .engine import query
 from .identity import ModelId, Relation
 from .planner import CACHED, INLINE, SKIP, Action, Plan, staleness
 from .relations import references, rewrite
@@ -118,7 +118,7 @@ class Binder:
         tokens = tokenize(sql)
         refs = references(tokens)
         bound = rewrite(tokens, refs, lambda r: "`" + self.bind(Relation.parse(r.parts), versions) + "`")
-        return self.session.sql(to_spark(bound))
+        return query(self.session, bound)
 
 
 class Runner:
